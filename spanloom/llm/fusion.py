@@ -17,6 +17,11 @@ def _clean(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c), None).when(c == 0, F.lit(0.0)).otherwise(c)
 
 
+def _above(cuts: str, value: str) -> Column:
+    """How many different cut points lie above the value: the number of its shard, counted from the top."""
+    return F.size(F.filter(F.array_distinct(cuts), lambda x: x > F.col(value)))
+
+
 def _window_ranks(rows: DataFrame, channels: list[str]) -> DataFrame:
     """Rank and spread of every channel in lists that fit a task: 1 + number of higher scores."""
     whole = Window.partitionBy("_l")
@@ -31,15 +36,15 @@ def _window_ranks(rows: DataFrame, channels: list[str]) -> DataFrame:
 
 def _sharded_ranks(rows: DataFrame, channels: list[str]) -> DataFrame:
     """The same for long lists: distinct scores counted, cut into score ranges, ranked range by range."""
-    lows = rows.groupBy("_l").agg(
+    lows = rows.groupBy(F.col("_l").alias("_ll")).agg(
         *[F.min(c).alias(f"_low_{c}") for c in channels],
         *[F.max(c).eqNullSafe(F.min(c)).alias(f"_flat_{c}") for c in channels],
         *[F.percentile_approx(c, [i / _SHARDS for i in range(1, _SHARDS)], 10 * _SHARDS).alias(f"_cuts_{c}") for c in channels],
     )
-    rows = rows.join(lows, F.col("_l") == lows["_l"], "left").drop(lows["_l"])
+    rows = rows.join(lows, F.col("_l") == F.col("_ll")).drop("_ll")
     for c in channels:
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.col(f"_low_{c}"))).withColumn(
-            f"_shard_{c}", F.coalesce(F.size(F.filter(F.array_distinct(f"_cuts_{c}"), lambda x, c=c: x > F.col(c))), F.lit(0))
+            f"_shard_{c}", F.coalesce(_above(f"_cuts_{c}", c), F.lit(0))
         )
     rows = rows.drop(*[f"_{k}_{c}" for k in ("low", "cuts") for c in channels])
     for c in channels:
@@ -105,7 +110,7 @@ def fuse_rankings(
         is_long = F.col("_l.k").eqNullSafe(F.col("_hk"))
         long = scored.join(F.broadcast(heavy), is_long, "left_semi")
         cuts = long.groupBy("_l").agg(F.percentile_approx("_f", [i / _SHARDS for i in range(1, _SHARDS)], 10 * _SHARDS).alias("_cuts"))
-        long = long.join(cuts, "_l").withColumn("_s", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x > F.col("_f")))).drop("_cuts")
+        long = long.join(cuts, "_l").withColumn("_s", _above("_cuts", "_f")).drop("_cuts")
         sizes = long.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_m"))
         off = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
         inside = Window.partitionBy("_l", "_s").orderBy(F.col("_f").desc(), F.col("_i"))
