@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Baskets with more items are paired block by block.
@@ -13,92 +13,115 @@ BLOCK = 512
 BUCKETS = 64
 
 
-def basket_items(df: DataFrame, basket: list[str], item: str) -> DataFrame:
-    """``(basket, item)``: which items each basket holds, once each. Rows with a null in either are left out."""
-    cols = [F.col(c) for c in basket]
-    rows = df.select(F.struct(*[c.alias(f"b{i}") for i, c in enumerate(cols)]).alias("basket"), F.col(item).alias("item"), *[c.alias(f"_n{i}") for i, c in enumerate(cols)])
-    for i in range(len(cols)):
-        rows = rows.where(F.col(f"_n{i}").isNotNull())
-    return rows.where(F.col("item").isNotNull()).select("basket", "item").distinct()
+def _valid(df: DataFrame, basket: list[str], item: str) -> DataFrame:
+    for c in (*basket, item):
+        df = df.where(F.col(c).isNotNull())
+    return df
 
 
-def changes(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """``(basket, item, was, now)`` of every basket that changed; unchanged baskets are left out."""
-    if old is None:
-        return new.select("basket", "item", F.lit(0).alias("was"), F.lit(1).alias("now"))
-    tagged = old.select("basket", "item", F.lit(1).alias("was"), F.lit(0).alias("now")).unionByName(new.select("basket", "item", F.lit(0).alias("was"), F.lit(1).alias("now")))
-    state = tagged.groupBy("basket", "item").agg(F.max("was").alias("was"), F.max("now").alias("now"))
-    touched = state.where("was <> now").select("basket").distinct()
-    return state.join(touched, "basket", "left_semi")
+def _entry(x: Column, was: int, now: int) -> Column:
+    return F.struct(x.alias("item"), F.lit(was).alias("was"), F.lit(now).alias("now"))
 
 
-def pair_deltas(changed: DataFrame) -> DataFrame:
-    """``(item_a, item_b, d_ab)``: what the changed baskets add to and take from each pair.
+def log_changes(df: DataFrame, basket: list[str], item: str, early: Column | None = None) -> DataFrame:
+    """``(b0.., items)``: per basket its items, sorted, each with whether it was and is in the basket.
 
-    A pair counts +1 for a basket that holds both items now and did not before, -1 for the
-    reverse, nothing where both stay. Baskets of more than ``BLOCK`` items are cut into blocks of
-    items by hash and paired block against block, so no task pairs a whole large basket; the pairs
-    themselves are all counted.
+    ``early`` marks the rows already counted (none, if it is left out). A log only adds, so items
+    never leave. The sets are folded where the rows are read, so a basket sends each task's items
+    once, however often they are repeated. Rows with a null in basket or item are left out.
     """
-    sizes = changed.groupBy("basket").count().where(F.col("count") > BLOCK)
-    large = sizes.select("basket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = changed.join(large, "basket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    early = F.lit(False) if early is None else F.coalesce(early, F.lit(True))
+    rows = _valid(df, basket, item).select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(basket)], F.col(item).alias("item"), early.alias("early"))
+    keys = [f"b{i}" for i in range(len(basket))]
+    sets = rows.groupBy(*keys).agg(F.collect_set(F.when(F.col("early"), F.col("item"))).alias("old"), F.collect_set(F.when(~F.col("early"), F.col("item"))).alias("late"))
+    added = F.transform(F.array_except("late", "old"), lambda x: _entry(x, 0, 1))
+    return sets.select(*keys, F.array_sort(F.concat(F.transform("old", lambda x: _entry(x, 1, 1)), added)).alias("items"))
+
+
+def changes(old: DataFrame, new: DataFrame, basket: list[str], item: str) -> DataFrame:
+    """The same for any change from one set of rows to another; items may leave baskets."""
+    tag = lambda d, was: _valid(d, basket, item).select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(basket)], F.col(item).alias("item"), F.lit(was).alias("was"))
+    keys = [f"b{i}" for i in range(len(basket))]
+    sets = tag(old, True).unionByName(tag(new, False)).groupBy(*keys).agg(
+        F.collect_set(F.when(F.col("was"), F.col("item"))).alias("a"), F.collect_set(F.when(~F.col("was"), F.col("item"))).alias("b")
+    )
+    kept = F.transform(F.array_intersect("a", "b"), lambda x: _entry(x, 1, 1))
+    gone, come = F.transform(F.array_except("a", "b"), lambda x: _entry(x, 1, 0)), F.transform(F.array_except("b", "a"), lambda x: _entry(x, 0, 1))
+    return sets.select(*keys, F.array_sort(F.concat(kept, gone, come)).alias("items"))
+
+
+def changed_only(packed: DataFrame) -> DataFrame:
+    """Baskets in which something came or went."""
+    return packed.where(F.exists("items", lambda e: e["was"] != e["now"]))
+
+
+def pair_counts(packed: DataFrame, state: str = "change") -> DataFrame:
+    """``(item_a, item_b, n)``: baskets holding both items, or how that changed.
+
+    ``state`` "was" counts the pairs of the baskets as they were. "change" gives a pair +1 for a
+    basket that holds both now and did not before, -1 for the reverse, and nothing where both stay.
+
+    A basket's pairs are made from its sorted items. Baskets of more than ``BLOCK`` items are cut
+    into blocks by item hash and paired block against block through a join, so no task pairs a whole
+    large basket; all pairs are counted either way.
+    """
+    if state == "was":
+        packed = packed.withColumn("items", F.filter("items", lambda e: e["was"] == 1))
+        sign = F.lit(1)
+    else:
+        packed = changed_only(packed)
+        sign = F.col("y.now") * F.col("x.now") - F.col("y.was") * F.col("x.was")
+    small = packed.where(F.size("items") <= BLOCK).select("items", F.posexplode("items").alias("p", "x"))
+    small = small.select("x", F.explode(F.expr("slice(items, p + 2, size(items))")).alias("y")).select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), sign.alias("s"))
+    keys = [c for c in packed.columns if c != "items"]
+    rows = packed.where(F.size("items") > BLOCK).select(*keys, F.ceil(F.size("items") / BLOCK).cast("int").alias("blocks"), F.explode("items").alias("e"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("e.item"), F.col("blocks")).cast("int"))
+    reach = F.sequence(F.lit(0), F.col("blocks") - 1)
     # an item of block k meets block j as the first of cell (k, j) or the second of cell (j, k)
-    one = F.array(F.lit(0))
-    reach = F.when(F.col("blocks") == 1, one).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("basket", F.col("block").alias("x"), F.explode(reach).alias("y"), F.col("item").alias("ia"), F.col("was").alias("wa"), F.col("now").alias("na"))
-    right = rows.select("basket", F.explode(reach).alias("x"), F.col("block").alias("y"), F.col("item").alias("ib"), F.col("was").alias("wb"), F.col("now").alias("nb"))
-    sign = F.col("na") * F.col("nb") - F.col("wa") * F.col("wb")
-    return (
-        left.join(right, ["basket", "x", "y"])
-        .where((F.col("ia") < F.col("ib")) & (sign != 0))
-        .groupBy(F.col("ia").alias("item_a"), F.col("ib").alias("item_b"))
-        .agg(F.sum(sign).alias("d_ab"))
-        .where("d_ab <> 0")
-    )
+    left = rows.select(*keys, F.col("block").alias("bx"), F.explode(reach).alias("by"), F.col("e").alias("x"))
+    right = rows.select(*keys, F.explode(reach).alias("bx"), F.col("block").alias("by"), F.col("e").alias("y"))
+    large = left.join(right, [*keys, "bx", "by"]).where(F.col("x.item") < F.col("y.item")).select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), sign.alias("s"))
+    return small.unionByName(large).where("s <> 0").groupBy("item_a", "item_b").agg(F.sum("s").alias("n")).where("n <> 0")
 
 
-def item_deltas(changed: DataFrame) -> DataFrame:
-    """``(item, d_n)``: change of the number of baskets that hold each item."""
-    return changed.groupBy("item").agg(F.sum(F.col("now") - F.col("was")).alias("d_n")).where("d_n <> 0")
+def item_counts(packed: DataFrame, state: str = "change") -> DataFrame:
+    """``(item, n)``: baskets holding each item, or how that changed."""
+    e = (packed if state == "was" else changed_only(packed)).select(F.explode("items").alias("e"))
+    n = F.col("e.was") if state == "was" else F.col("e.now") - F.col("e.was")
+    return e.select(F.col("e.item").alias("item"), n.alias("n")).where("n <> 0").groupBy("item").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def basket_delta(changed: DataFrame) -> DataFrame:
-    """One row ``d_baskets``: change of the number of baskets."""
-    per = changed.groupBy("basket").agg(F.max("was").alias("was"), F.max("now").alias("now"))
-    return per.agg(F.coalesce(F.sum(F.col("now") - F.col("was")), F.lit(0)).cast("long").alias("d_baskets"))
+def basket_count(packed: DataFrame, state: str = "change") -> DataFrame:
+    """One row ``n``: number of baskets with an item, or how that changed."""
+    was = F.exists("items", lambda e: e["was"] == 1).cast("long")
+    n = was if state == "was" else F.exists("items", lambda e: e["now"] == 1).cast("long") - was
+    return packed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"))
 
 
 @dataclass
 class PairTable:
-    """Counts of pairs, items and baskets as of the batches applied so far."""
+    """Counts of pairs, items and baskets as of the changes applied so far."""
 
     pairs: DataFrame  # item_a, item_b, n_ab
     items: DataFrame  # item, n
     baskets: DataFrame  # one row: n
 
     @classmethod
-    def build(cls, baskets: DataFrame) -> PairTable:
-        """The table of a first batch."""
-        c = changes(None, baskets)
-        return cls(
-            pair_deltas(c).withColumnRenamed("d_ab", "n_ab"),
-            item_deltas(c).withColumnRenamed("d_n", "n"),
-            basket_delta(c).withColumnRenamed("d_baskets", "n"),
-        )
-
-    def apply(self, old: DataFrame, new: DataFrame) -> PairTable:
-        """The table after baskets went from ``old`` to ``new`` (both as ``basket_items`` gives them)."""
-        c = changes(old, new)
-        pairs = self.pairs.unionByName(pair_deltas(c).withColumnRenamed("d_ab", "n_ab")).groupBy("item_a", "item_b").agg(F.sum("n_ab").alias("n_ab")).where("n_ab > 0")
-        items = self.items.unionByName(item_deltas(c).withColumnRenamed("d_n", "n")).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
-        return PairTable(pairs, items, self.baskets.unionByName(basket_delta(c).withColumnRenamed("d_baskets", "n")).agg(F.sum("n").alias("n")))
+    def build(cls, packed: DataFrame, state: str = "change") -> PairTable:
+        """The table of a first load: all changes from nothing, or the baskets as they were."""
+        return cls(pair_counts(packed, state).withColumnRenamed("n", "n_ab"), item_counts(packed, state), basket_count(packed, state))
+
+    def apply(self, packed: DataFrame) -> PairTable:
+        """The table after the changes; counts are merged by key, those that reach 0 go."""
+        d = pair_counts(packed).withColumnRenamed("n", "d")
+        pairs = self.pairs.join(d, ["item_a", "item_b"], "full").select("item_a", "item_b", (F.coalesce("n_ab", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n_ab")).where("n_ab > 0")
+        items = self.items.unionByName(item_counts(packed)).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
+        return PairTable(pairs, items, self.baskets.unionByName(basket_count(packed)).agg(F.sum("n").alias("n")))
 
     def save(self, path: str) -> None:
         """Write the table below ``path``, pairs and items in hash buckets of the (first) item."""
-        self.pairs.withColumn("bucket", F.pmod(F.xxhash64("item_a"), F.lit(BUCKETS))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pairs")
-        self.items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/items")
+        for name, df, key in (("pairs", self.pairs, "item_a"), ("items", self.items, "item")):
+            df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         self.baskets.coalesce(1).write.mode("overwrite").parquet(f"{path}/baskets")
 
     @classmethod
@@ -114,20 +137,20 @@ class PairTable:
         return rows.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b").cast("double"))).alias("lift"))
 
 
-def affected_associations(table: PairTable, old: DataFrame, new: DataFrame, min_together: int = 1) -> DataFrame:
+def affected_associations(table: PairTable, packed: DataFrame, min_together: int = 1) -> DataFrame:
     """Associations of the updated ``table`` whose pair or item counts the change touched.
 
     All lifts also carry the number of baskets; a change of it alone scales every lift alike and
     needs no look at the pairs.
     """
-    c = changes(old, new)
-    items = item_deltas(c).select("item")
-    scores = table.associations(min_together)
-    by_a = scores.join(items.select(F.col("item").alias("item_a")), "item_a", "left_semi")
-    by_b = scores.join(items.select(F.col("item").alias("item_b")), "item_b", "left_semi")
-    by_pair = scores.join(pair_deltas(c).select("item_a", "item_b"), ["item_a", "item_b"], "left_semi")
+    items, scores = item_counts(packed).select("item"), table.associations(min_together)
+    hits = [
+        scores.join(items.select(F.col("item").alias("item_a")), "item_a", "left_semi"),
+        scores.join(items.select(F.col("item").alias("item_b")), "item_b", "left_semi"),
+        scores.join(pair_counts(packed).select("item_a", "item_b"), ["item_a", "item_b"], "left_semi"),
+    ]
     cols = ["item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift"]
-    return by_a.select(cols).unionByName(by_b.select(cols)).unionByName(by_pair.select(cols)).distinct()
+    return hits[0].select(cols).unionByName(hits[1].select(cols)).unionByName(hits[2].select(cols)).distinct()
 
 
 def items_together(df: DataFrame, basket: list[str], item: str, loaded_at: str | None = None, min_together: int = 1) -> DataFrame:
@@ -138,15 +161,9 @@ def items_together(df: DataFrame, basket: list[str], item: str, loaded_at: str |
     load. Either way the counts are those of the whole log. Repeated rows count once per basket.
     An empty log gives no pair.
     """
-    if loaded_at is None:
-        return PairTable.build(basket_items(df, basket, item)).associations(min_together)
-    span = df.agg(F.min(loaded_at).alias("lo"), F.max(loaded_at).alias("hi")).first()
-    if span["lo"] is None:
-        return PairTable.build(basket_items(df, basket, item)).associations(min_together)
+    span = df.agg(F.min(loaded_at).alias("lo"), F.max(loaded_at).alias("hi")).first() if loaded_at else None
+    if span is None or span["lo"] is None:
+        return PairTable.build(log_changes(df, basket, item)).associations(min_together)
     at = span["lo"] + (span["hi"] - span["lo"]) * 0.9
-    early = df.where(F.col(loaded_at).isNull() | (F.col(loaded_at) <= F.lit(at).cast(dict(df.dtypes)[loaded_at])))
-    old, new = basket_items(early, basket, item), basket_items(df, basket, item)
-    return PairTable.build(old).apply(old, new).associations(min_together)
-
-
-__all__ = ["PairTable", "affected_associations", "basket_items", "changes", "items_together", "pair_deltas"]
+    packed = log_changes(df, basket, item, F.col(loaded_at) <= F.lit(at).cast(dict(df.dtypes)[loaded_at]))
+    return PairTable.build(packed, "was").apply(packed).associations(min_together)
