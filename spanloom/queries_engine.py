@@ -314,8 +314,8 @@ def user_cf_scores(spark, d):
 
 _FEAT = """with q as (select quantile_cont(p_size, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qs, quantile_cont(p_retailprice, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qp from part),
 raw as (select p_partkey as item_id, 'p_brand=' || lower(trim(p_brand)) as feature from part union all select p_partkey, 'p_type=' || lower(trim(p_type)) from part
-union all select p_partkey, 'p_size=bin' || len(list_filter(list_distinct(qs), x -> x < p_size)) from part, q
-union all select p_partkey, 'p_retailprice=bin' || len(list_filter(list_distinct(qp), x -> x < p_retailprice)) from part, q),
+union all select p_partkey, 'p_size=bin' || len([x for x in list_distinct(qs) if x < p_size]) from part, q
+union all select p_partkey, 'p_retailprice=bin' || len([x for x in list_distinct(qp) if x < p_retailprice]) from part, q),
 nn as (select count(*) as n from part), df as (select feature, count(distinct item_id) as df from raw, nn group by feature, n having count(distinct item_id) >= 2 and count(distinct item_id) <= greatest(n // 2, 1)),
 idf as (select feature, ln((1 + n) / (1.0 + df)) + 1 as idf from df, nn), wr as (select item_id, raw.feature, idf from raw join idf using (feature)),
 f as (select item_id, feature, idf / sqrt(sum(idf * idf) over (partition by item_id)) as w from wr)
@@ -421,7 +421,7 @@ def _wilson(log: DataFrame) -> DataFrame:
     + _WIL
     + _HIST
     + _BASE
-    + """, m as (select bs.* from bs anti join hi using (entity_id, item_id)), r as (select *, row_number() over (partition by entity_id order by round(base, 9) desc, item_id) as rank from m where base > 0)
+    + """, mk as (select bs.* from bs anti join hi using (entity_id, item_id)), r as (select *, row_number() over (partition by entity_id order by round(base, 9) desc, item_id) as rank from mk where base > 0)
 select entity_id, rank::integer as rank, item_id, round(base, 6) as score from r where rank <= 10"""
 )
 def base_scores_topk(spark, d):
@@ -593,7 +593,7 @@ def popularity_baseline(spark, d):
 
 _REL = """, rel as (select distinct s.entity_id, s.item_id from sp s anti join tr using (entity_id, item_id) where not is_train and entity_id in (select entity_id from us)), nr as (select entity_id, count(*) as n_rel from rel group by 1),
 ht as (select entity_id, count(*) as hits, sum(1 / log2(rank + 1.0)) as dcg, min(rank) as first from pr join rel using (entity_id, item_id) where rank <= 10 group by 1),
-pe as (select nr.entity_id, coalesce(hits, 0) / 10.0 as precision, coalesce(hits, 0) / n_rel as recall, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, 10) + 1), x -> 1 / log2(x + 1.0))) as ndcg, coalesce(1.0 / first, 0) as rr, case when hits > 0 then 1.0 else 0.0 end as hit from nr left join ht using (entity_id))"""
+pe as (select nr.entity_id, coalesce(hits, 0) / 10.0 as precision, coalesce(hits, 0) / n_rel as recall, coalesce(dcg, 0) / list_sum([1 / log2(x + 1.0) for x in range(1, least(n_rel, 10) + 1)]) as ndcg, coalesce(1.0 / first, 0) as rr, case when hits > 0 then 1.0 else 0.0 end as hit from nr left join ht using (entity_id))"""
 
 
 @query(

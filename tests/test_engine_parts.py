@@ -21,6 +21,7 @@ from spanloom.operators import features as ft
 from spanloom.operators import infer_sessions as inf
 from spanloom.operators import profile as pf
 from spanloom.operators import repeat as rp
+from spanloom.operators.closed_form import apart
 from spanloom.operators.skew import assign_tasks, fragment_replicate_join, heavy_keys, per_key, plan_loads
 from spanloom.plans import engine as en
 from spanloom.plans import score as sc
@@ -170,11 +171,11 @@ def test_ease_closed_form(spark):
     e = edges_of(m.edges(log_of(spark, [(0, 0)])))
     assert e == {(0, 1): pytest.approx(0.4), (1, 0): pytest.approx(0.4)}
     with pytest.raises(ValueError):
-        es.solve(np.array([[1.0, 2.0], [2.0, 1.0]]), 0.0)
+        apart("solve", np.array([[1.0, 2.0], [2.0, 1.0]]), lam=0.0)
     with pytest.raises(ValueError):
         es.fit_ease(log_of(spark, [(0, i) for i in range(5)]), max_items=3)
     g = np.array([[3.0, 1.0], [1.0, 2.0]])
-    assert np.all(es.solve_admm(g) >= 0) and es.solve_rlae(g, 1.0).shape == (2, 2)
+    assert np.all(apart("solve_admm", g) >= 0) and apart("solve_rlae", g, lam=1.0).shape == (2, 2)
 
 
 def test_ease_scores_packed_equals_joined(spark, monkeypatch):
