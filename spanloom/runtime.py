@@ -30,8 +30,22 @@ def get_session(app: str = "spanloom", cpus: int | None = None, **conf: str) ->
     return spark
 
 
+def guard(spark: SparkSession) -> SparkSession:
+    """Switch off that unions claim their children's partitioning.
+
+    Spark 4.1 does so by default, and adaptive execution may then coalesce the children
+    differently, which ends the query with "Can't zip RDDs with unequal numbers of partitions".
+    """
+    try:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    except Exception:  # versions without the setting
+        pass
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
+    guard(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -41,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is
     unset (tests, notebooks) a private folder of this machine is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = guard(df.sparkSession).sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))

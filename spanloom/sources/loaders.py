@@ -63,6 +63,11 @@ def _csv(spark: SparkSession, path: str, need: set[str] | None = None, upper: bo
     return df
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of a text file in another encoding than UTF-8 (which the text source does not offer)."""
+    return spark.read.schema("value string").option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").csv(path)
+
+
 def _naive(c) -> F.Column:
     return c.cast("timestamp").cast("timestamp_ntz")
 
@@ -80,12 +85,12 @@ def _split(name: str, log: DataFrame, items: DataFrame | None, how: str, fractio
 def movielens(spark: SparkSession, root: str, test_fraction: float = 0.1, drop_below_threshold: bool = False) -> DatasetSplit:
     """``::``-separated ratings and movies (ISO-8859-1)."""
     r, m = _need(root, "ratings.dat", "movies.dat")
-    raw = spark.read.option("encoding", "ISO-8859-1").text(r).select(F.split("value", "::").alias("p")).where(F.size("p") == 4)
+    raw = _lines(spark, r, "ISO-8859-1").select(F.split("value", "::").alias("p")).where(F.size("p") == 4)
     log = raw.select(F.col("p")[0].cast("bigint").alias("entity_id"), F.col("p")[1].cast("bigint").alias("item_id"), _naive(F.timestamp_seconds(F.col("p")[3].cast("bigint"))).alias("timestamp"), F.col("p")[2].cast("double").alias("rating"))
     log = log.withColumn("action_type", F.when(F.col("rating") >= 4, "positive_rating").otherwise("negative_rating"))
     if drop_below_threshold:
         log = log.where("rating >= 4")
-    movies = spark.read.option("encoding", "ISO-8859-1").text(m).select(F.split("value", "::").alias("p")).where(F.size("p") == 3)
+    movies = _lines(spark, m, "ISO-8859-1").select(F.split("value", "::").alias("p")).where(F.size("p") == 3)
     items = movies.select(F.col("p")[0].cast("bigint").alias("item_id"), F.col("p")[1].alias("title"), F.col("p")[2].alias("genres"), F.split(F.col("p")[2], r"\|")[0].alias("category"))
     return _split("movielens", log.dropna(subset=["entity_id", "item_id", "timestamp"]), items, "global", test_fraction)
 

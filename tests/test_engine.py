@@ -71,7 +71,7 @@ def test_seeds(spark):
     for u in range(200):
         g = u % 2
         rows += [(f"u{u}", f"w{g}_{i}") for i in rnd.sample(range(15), 8)]
-    e = Engine(base_scorer="cooc").fit(spark.createDataFrame(rows, "entity_id string, item_id string"))
+    e = Engine(base_scorer="ease", channel_gate=False).fit(spark.createDataFrame(rows, "entity_id string, item_id string"))
     seeds = spark.createDataFrame([("a", "w0_1"), ("a", "w0_1"), ("a", "w0_2"), ("a", "w0_3"), ("a", "w0_4"), ("a", "w0_5"), ("b", "nope")], "entity_id string, item_id string")
     got = lists(e.recommend_for_items(seeds, 4))
     assert all(i.startswith("w0_") and i not in ("w0_1", "w0_2", "w0_3", "w0_4", "w0_5") for i, _ in got["a"])
@@ -109,7 +109,8 @@ def test_cold_slots_and_open_catalog(spark):
 
 def test_degenerate(spark):
     one = spark.createDataFrame([(1, 1), (1, 1)], "entity_id bigint, item_id bigint")
-    assert Engine(base_scorer="cooc").fit(one).recommend_batch().count() == 0
+    assert Engine(base_scorer="cooc", repeat_recommend=False).fit(one).recommend_batch().count() == 0
+    assert Engine(base_scorer="cooc").fit(one).recommend_batch().count() == 1  # the repeated item comes back
 
 
 # ---------------------------------------------------------------- sources
