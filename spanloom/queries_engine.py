@@ -19,6 +19,7 @@ from spanloom.operators.activity import label_sessions
 from spanloom.operators.ease import fit_ease
 from spanloom.operators.infer_sessions import cart_outcomes, infer_sessions
 from spanloom.plans import score as sc
+from spanloom.plans.packed import top_by_edges
 from spanloom.runtime import cut, read, seconds
 from spanloom.sources.loaders import latest_property
 
@@ -426,9 +427,8 @@ select entity_id, rank::integer as rank, item_id, round(base, 6) as score from r
 )
 def base_scores_topk(spark, d):
     log = cut(orders_log(spark, d))
-    scores = ch.base_scores(ch.multiplicity(log), _wilson(log)).withColumnRenamed("base", "score")
-    pooled = sc.pool(sc.mask_owned(scores, log), BUDGET)
-    return sc.top_n(pooled.withColumn("composite", F.col("score")), TOP, "cooc").select("entity_id", "rank", "item_id", r6("score"))
+    half = ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), "wilson")
+    return top_by_edges(log, half, TOP).select("entity_id", "rank", "item_id", r6("score"))
 
 
 # the whole user x catalog square, zeros written out

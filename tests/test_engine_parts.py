@@ -396,3 +396,14 @@ def test_cold_slots_cap(spark):
     got = [(r["rank"], r["item_id"], r["base_kind"]) for r in sc.with_cold_slots(top, cold, 1, 3).orderBy("rank").collect()]
     assert got == [(1, 10, "cooc"), (2, 20, "cooc"), (3, 99, "cold_content")]
     assert sc.with_cold_slots(top, cold, 9, 1).count() == 1
+
+
+def test_packed_lists_equal_joined(spark):
+    from spanloom.plans.packed import top_by_edges
+
+    rnd = random.Random(5)
+    log = log_of(spark, [(rnd.randrange(30), rnd.randrange(40)) for _ in range(300)] + [(77, 900)])
+    half = ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), "cosine")
+    a, b = ([tuple(r)[:3] + (round(r["score"], 6),) for r in top_by_edges(log, half, 6, m).orderBy("entity_id", "rank").collect()] for m in (10**6, 0))
+    assert a == b and len(a) > 100
+    assert top_by_edges(log.where("false"), half.where("false")).count() == 0
