@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import micros, spread
+from spanloom.runtime import cut, micros
 
 #: Rows of a band and number of bands. At Jaccard 0.6 one band of 4 agrees with probability 0.13;
 #: all 64 bands miss a pair with probability 1.4e-4, at 0.8 with 5e-15.
@@ -95,9 +95,12 @@ def similar_classes(classes: DataFrame, threshold: float, rows: int = ROWS, band
     anything is fetched. The rest is checked exactly on the words.
     """
     docs = classes.select("rep", F.size("hashes").alias("n"), _bits(F.col("hashes"), 0).alias("m0"), _bits(F.col("hashes"), 1).alias("m1"), "in_train", "in_test", "hashes")
-    banded = _with_bands(spread(docs), rows, bands).select("rep", "n", "m0", "m1", "in_train", "in_test", F.explode("bands").alias("band"))
-    a = banded.where("in_train").select("band", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("m0").alias("a0"), F.col("m1").alias("a1"))
-    b = banded.where("in_test").select("band", F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
+    # the docs come out of a join whose few small partitions would leave most cores idle while hashing
+    spark = docs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sides = [_with_bands(docs.where(side).repartition(tasks), rows, bands).select("rep", "n", "m0", "m1", F.explode("bands").alias("band")) for side in ("in_train", "in_test")]
+    a = sides[0].select("band", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("m0").alias("a0"), F.col("m1").alias("a1"))
+    b = sides[1].select("band", F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
     only_a = F.bit_count(F.expr("a0 & ~b0")) + F.bit_count(F.expr("a1 & ~b1"))
     only_b = F.bit_count(F.expr("b0 & ~a0")) + F.bit_count(F.expr("b1 & ~a1"))
     shared = F.least(F.col("na") - only_a, F.col("nb") - only_b)
@@ -117,6 +120,7 @@ def similar_classes(classes: DataFrame, threshold: float, rows: int = ROWS, band
 def text_overlaps(records: DataFrame, record_id: str, split: str, text: str, min_words: int = 8, threshold: float = 0.6) -> DataFrame:
     """``(train_id, test_id)`` of records whose texts share at least ``threshold`` of their different words."""
     members, classes = word_classes(records, record_id, split, text, min_words)
+    classes = cut(classes)  # read by both sides, both checks and the way back to the records
     pairs = similar_classes(classes, threshold).select("rep_train", "rep_test")
     same = classes.where("in_train and in_test").select(F.col("rep").alias("rep_train"), F.col("rep").alias("rep_test"))
     linked = pairs.unionByName(same)
