@@ -42,11 +42,11 @@ def p6_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per item with metadata: rows, different entities, and the title of its first metadata row."""
+    """Per item: rows, different entities, and the title of its first metadata row (null without one)."""
     log = read(spark, d, "interactions").select("item_id", "entity_id")
     meta = read(spark, d, "items").groupBy("item_id").agg(F.min_by("title", "meta_id").alias("title"))
     plan = plan_loads(log, "item_id")
-    joined = fragment_replicate_join(log, meta, plan, spread_by=F.col("entity_id"))
+    joined = fragment_replicate_join(log, meta, plan, "left", F.col("entity_id"))
     return per_key(
         joined, plan,
         {"n": F.count(F.lit(1)), "m": F.countDistinct("entity_id"), "t": F.max("title")},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.activity import sessions_by_gap
 from spanloom.operators.packed import unpack_fields
+from spanloom.queries_training import p6_items
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -88,3 +89,11 @@ def test_packed_cells(spark):
 def test_packed_long_cell(spark):
     df = spark.createDataFrame([(1, ",".join(f'"v;{i}"' for i in range(20000)))], "id long, tags string")
     assert unpack_fields(df, "id", ["tags"]).where("item_value like 'v;%'").count() == 20000
+
+
+def test_items_without_metadata_stay(spark, tmp_path):
+    log = [(e, 1) for e in range(60)] + [(e % 3, 2) for e in range(9)] + [(5, 3)]  # item 1 is heavy; 1 and 3 have no metadata
+    spark.createDataFrame(log, "entity_id long, item_id long").write.parquet(f"{tmp_path}/interactions.parquet")
+    spark.createDataFrame([(7, 2, "later"), (4, 2, "first"), (8, 9, "unused")], "meta_id long, item_id long, title string").write.parquet(f"{tmp_path}/items.parquet")
+    got = {(r["item_id"], r["n_rows"], r["n_entities"], r["title"]) for r in p6_items(spark, str(tmp_path)).collect()}
+    assert got == {(1, 60, 60, None), (2, 9, 3, "first"), (3, 1, 1, None)}
