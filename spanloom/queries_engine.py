@@ -513,7 +513,7 @@ def cold_slot_topk(spark, d):
     items = ch.popularity(log, meta).withColumn("coldness", ch.coldness(F.col("n")))
     cold = items.where("coldness >= 0.75").select("item_id", F.lit(0.0).alias("recency"))
     content = ch.content_scores(ch.multiplicity(log), cut(part_features(spark, d)))
-    best = sc.pool(sc.cold_candidates(content, cold, log, meta.count(), 2.0), TOP)
+    best = sc.pool(sc.cold_candidates(content, cold, log, meta.count(), 2.0, TOP), TOP)
     return best.select("entity_id", F.col("place").alias("rank"), "item_id", F.round("score", 5).alias("score"))
 
 

@@ -398,6 +398,34 @@ def test_cold_slots_cap(spark):
     assert sc.with_cold_slots(top, cold, 9, 1).count() == 1
 
 
+@pytest.mark.parametrize("slots", [1, 3, None])
+def test_cold_candidates_equal_dense(spark, slots):
+    rnd = random.Random(11)
+    n, beta = 30, 2.0
+    recency = {i: rnd.choice([0.0, 0.0, 0.3, 0.9, 1.0]) for i in range(10, 30)}  # items 0 to 9 are warm
+    content = {(u, i): rnd.random() for u in range(6) for i in rnd.sample(range(n), 12)}
+    content.update({(6, 28): 0.5})  # entity 7 has no content at all
+    owned = {(u, i) for u in range(8) for i in rnd.sample(range(n), 4)}
+    listed = {(u, i) for u in range(8) for i in rnd.sample(range(n), 4)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "entity_id long, item_id long")
+    got = sc.cold_candidates(
+        spark.createDataFrame([(u, i, v) for (u, i), v in content.items()], "entity_id long, item_id long, content double"),
+        spark.createDataFrame(list(recency.items()), "item_id long, recency double"), frame(owned), n, beta, *((slots, frame(listed)) if slots else ()),
+    )
+    rows = got.collect()
+    assert len({(r["entity_id"], r["item_id"]) for r in rows}) == len(rows)
+    have = {}
+    for r in rows:
+        if not slots or (r["entity_id"], r["item_id"]) not in listed:
+            have.setdefault(r["entity_id"], []).append((-round(r["score"], 9), r["item_id"]))
+    for u in range(8):
+        x = np.array([content.get((u, i), 0.0) for i in range(n)])
+        z = (x - x.mean()) / x.std() if x.std() > 0 else x
+        want = sorted((-round(z[i] + beta * r, 9), i) for i, r in recency.items() if (u, i) not in owned and not (slots and (u, i) in listed))
+        assert [i for _, i in sorted(have[u])[:slots]] == [i for _, i in want[:slots]]
+        assert [s for s, _ in sorted(have[u])[:slots]] == pytest.approx([s for s, _ in want[:slots]])
+
+
 def test_packed_lists_equal_joined(spark):
     from spanloom.plans.packed import top_by_edges
 
