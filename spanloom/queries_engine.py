@@ -383,7 +383,7 @@ from s group by all having count(*) >= 2)"""
 
 @query(_E + _REP + "select entity_id, item_id, cnt, n_gaps::integer as n_gaps, round(period, 3)::double as period, quality::double as quality from rp where n_gaps < 10")
 def repeat_profile_median(spark, d):
-    p = rp.repeat_profile(events_log(spark, d)).where("n_gaps < 10")
+    p = rp.repeat_profile(events_log(spark, d))
     return p.select("entity_id", "item_id", "cnt", "n_gaps", F.round("period", 3).alias("period"), "quality")
 
 
@@ -402,7 +402,7 @@ select entity_id, item_id, round(case when period is null then 1.0 else quality
 def repeat_multiplier(spark, d):
     log = events_log(spark, d)
     now = log.agg(F.max("ts")).first()[0] or 0.0
-    p = rp.repeat_profile(log).where("n_gaps < 10")
+    p = rp.repeat_profile(log)
     return p.select("entity_id", "item_id", F.round(rp.repeat_multiplier(F.lit(now) - F.col("last_ts"), F.col("period"), F.col("quality")), 6).alias("multiplier"))
 
 
