@@ -157,7 +157,7 @@ u as (select item_id, row_number() over (order by item_id) - 1 as item_idx, true
 union all select item_id, row_number() over (order by item_id) - 1 + (select count(*) from i), false from x) select * from u"""
 )
 def open_catalog_extension(spark, d):
-    return ct.catalog(orders_log(spark, d).where("item_id % 10 <> 0"), meta_part(spark, d))
+    return ct.catalog(orders_log(spark, d), meta_part(spark, d))
 
 
 @query(_O + "select entity_id, item_id, session_id, row_number() over (partition by entity_id order by ts, session_id, item_id, weight)::integer as pos from ixo")
@@ -265,7 +265,7 @@ def popularity(spark, d):
 
 @query("with i as (select p_partkey as item_id from part), n as (select l_partkey as item_id, count(*) as n from lineitem where l_partkey % 10 <> 0 group by 1) select item_id, round(greatest(0.0, least(1.0, 1 - coalesce(n, 0) / 20.0)), 6)::double as coldness from i left join n using (item_id)")
 def coldness(spark, d):
-    items = ch.popularity(orders_log(spark, d).where("item_id % 10 <> 0"), meta_part(spark, d))
+    items = ch.popularity(orders_log(spark, d), meta_part(spark, d))
     return items.select("item_id", F.round(ch.coldness(F.col("n")), 6).alias("coldness"))
 
 
@@ -508,7 +508,7 @@ r as (select *, row_number() over (partition by entity_id order by round(score,
 select entity_id, rank::integer as rank, item_id, round(score, 5) as score from r where rank <= 10"""
 )
 def cold_slot_topk(spark, d):
-    log = cut(orders_log(spark, d).where("item_id % 10 <> 0"))
+    log = cut(orders_log(spark, d))
     meta = meta_part(spark, d)
     items = ch.popularity(log, meta).withColumn("coldness", ch.coldness(F.col("n")))
     cold = items.where("coldness >= 0.75").select("item_id", F.lit(0.0).alias("recency"))

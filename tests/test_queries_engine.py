@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -41,3 +42,43 @@ def test_repeat_queries_hold_pairs_of_many_gaps(spark, tmp_path):
         assert got[p]["period"] == (None if period is None else pytest.approx(period, abs=1e-3)) and got[p]["quality"] == pytest.approx(quality)
     mult = {(r["entity_id"], r["item_id"]): r["multiplier"] for r in qe.repeat_multiplier(spark, str(tmp_path)).collect()}
     assert mult == {p: pytest.approx(v, abs=1e-6) for p, v in factor.items()}
+
+
+def orders(spark, path):
+    """60 parts: 41 to 60 are unsold, 31 to 40 sold once or twice, 10, 20 and 30 sold like the rest; returns (customer, part) rows."""
+    rnd = random.Random(5)
+    sold = [(rnd.randrange(1, 6), p) for p in range(1, 31) for _ in range(25)] + [(1 + p % 5, p) for p in range(31, 41) for _ in range(1 + p % 2)]
+    write(spark, path, "orders", [(k, c) for k, (c, _) in enumerate(sold)], "o_orderkey long, o_custkey long")
+    write(spark, path, "lineitem", [(k, p, T0 + dt.timedelta(hours=k), 1.0) for k, (_, p) in enumerate(sold)], "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz, l_quantity double")
+    parts = [(p, f"name {rnd.randrange(6)}", f"brand {p % 7}", f"type {p % 4}", 1 + p * 7 % 50, 900.0 + p * 13 % 71) for p in range(1, 61)]
+    write(spark, path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    return sold
+
+
+def test_coldness_and_extension_over_the_whole_log(spark, tmp_path):
+    sold = orders(spark, tmp_path)
+    n = {p: sum(i == p for _, i in sold) for p in range(1, 61)}
+    got = {r["item_id"]: r["coldness"] for r in qe.coldness(spark, str(tmp_path)).collect()}
+    assert got == {p: pytest.approx(max(0.0, 1 - k / 20)) for p, k in n.items()}
+    assert got[10] == 0.0 and got[31] == pytest.approx(0.9) and got[60] == 1.0
+    rows = sorted((r["item_idx"], r["item_id"], r["is_train"]) for r in qe.open_catalog_extension(spark, str(tmp_path)).collect())
+    assert rows == [(p - 1, p, p <= 40) for p in range(1, 61)]
+
+
+def test_cold_lists_over_the_whole_log(spark, tmp_path):
+    sold = orders(spark, tmp_path)
+    w = np.zeros((61, 200))
+    seen: dict[str, int] = {}
+    for r in qe.part_features(spark, str(tmp_path)).collect():
+        w[r["item_id"], seen.setdefault(r["feature"], len(seen))] = r["w"]
+    want = set()
+    for u in range(1, 6):
+        own = [i for c, i in sold if c == u]
+        x = (w @ w[own].sum(axis=0))[1:]
+        z = (x - x.mean()) / x.std()
+        free = [i for i in range(31, 61) if i not in own]
+        for rank, i in enumerate(sorted(free, key=lambda i: (-round(z[i - 1], 9), i))[:10], 1):
+            want.add((u, rank, i, round(z[i - 1], 4)))
+    got = {(r["entity_id"], r["rank"], r["item_id"], round(r["score"], 4)) for r in qe.cold_slot_topk(spark, str(tmp_path)).collect()}
+    assert {x[:3] for x in got} == {x[:3] for x in want}
+    assert {x[:3]: x[3] for x in got} == {x[:3]: pytest.approx(x[3], abs=2e-4) for x in want}
