@@ -324,8 +324,8 @@ f as (select item_id, feature, idf / sqrt(sum(idf * idf) over (partition by item
 
 
 def part_features(spark, d):
-    """Features of the parts' brand, type, size and price (their names are checked in the tests)."""
-    return ft.item_features(meta_part(spark, d).drop("p_name"))
+    """Features of all columns of the parts: name, brand, type, size and price."""
+    return ft.item_features(meta_part(spark, d))
 
 
 @query(_FEAT + "select item_id, feature, round(w, 6) as w from f")
@@ -333,6 +333,12 @@ def content_features(spark, d):
     return part_features(spark, d).select("item_id", "feature", r6("w"))
 
 
+@query()
+def text_features(spark, d):
+    """Features of the items' metadata, whose titles, genres, tags and release dates take the text role."""
+    return ft.item_features(read(spark, d, "items").drop("meta_id")).select("item_id", "feature", r6("w"))
+
+
 @query(
     _FEAT
     + f", {_IXO}"

@@ -82,3 +82,40 @@ def test_cold_lists_over_the_whole_log(spark, tmp_path):
     got = {(r["entity_id"], r["rank"], r["item_id"], round(r["score"], 4)) for r in qe.cold_slot_topk(spark, str(tmp_path)).collect()}
     assert {x[:3] for x in got} == {x[:3] for x in want}
     assert {x[:3]: x[3] for x in got} == {x[:3]: pytest.approx(x[3], abs=2e-4) for x in want}
+
+
+def unit_weights(raw, n):
+    """{(item, feature): weight} from {item: features}: IDF of features of 2 to n / 2 items, unit length."""
+    df: dict[str, int] = {}
+    for f in (f for fs in raw.values() for f in fs):
+        df[f] = df.get(f, 0) + 1
+    out = {}
+    for i, fs in raw.items():
+        idf = {f: math.log((1 + n) / (1 + df[f])) + 1 for f in fs if 2 <= df[f] <= max(n // 2, 1)}
+        size = math.sqrt(sum(v * v for v in idf.values()))
+        out.update({(i, f): v / size for f, v in idf.items()})
+    return out
+
+
+def test_content_features_hold_all_columns(spark, tmp_path):
+    orders(spark, tmp_path)
+    part = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/part.parquet").collect()]
+    raw = {r["p_partkey"]: {f"{c}={r[c]}" for c in ("p_name", "p_brand", "p_type")} for r in part}
+    for c in ("p_size", "p_retailprice"):
+        cuts = set(np.quantile([r[c] for r in part], np.arange(1, 8) / 8))
+        for r in part:
+            raw[r["p_partkey"]].add(f"{c}=bin{sum(x < r[c] for x in cuts)}")
+    want = unit_weights(raw, 60)
+    got = {(r["item_id"], r["feature"]): r["w"] for r in qe.content_features(spark, str(tmp_path)).collect()}
+    assert any(f.startswith("p_name=") for _, f in got)
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_text_features(spark, tmp_path):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    items = [(i, i, " ".join(rnd.sample(words, 3)).upper() + "!" + " common" * (i % 4 > 0)) for i in range(20)]
+    write(spark, tmp_path, "items", items, "meta_id long, item_id long, title string")
+    want = unit_weights({i: {f"title:{w}" for w in t.lower().replace("!", "").split()} for _, i, t in items}, 20)
+    got = {(r["item_id"], r["feature"]): r["w"] for r in qe.text_features(spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
