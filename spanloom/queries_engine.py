@@ -633,12 +633,12 @@ s as (select entity_id, j as item_id, sum(w) as score from x join k on k.i = x.i
 select entity_id, rank::integer as rank, item_id, round(score, 6) as score from o where rank <= 10"""
 )
 def item_knn_baseline(spark, d):
-    return ev.item_knn(events_log(spark, d), TOP, 20).select("entity_id", "rank", "item_id", r6("score"))
+    return ev.item_knn(events_log(spark, d), TOP).select("entity_id", "rank", "item_id", r6("score"))
 
 
 @query()
 def als_baseline(spark, d):
-    return ev.als_lists(events_log(spark, d), TOP, factors=16, iterations=5)
+    return ev.als_lists(events_log(spark, d), TOP)
 
 
 @query(_O + ", n as (select entity_id, count(*) as rows from ixo group by 1) select case when rows < 5 then '1-4' when rows < 20 then '5-19' else '20+' end as bucket, count(*) as n_entities, sum(rows)::bigint as n_rows from n group by 1")

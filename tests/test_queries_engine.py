@@ -1,6 +1,7 @@
 """Registered engine queries on small tables that hold what the test tables lack."""
 
 import datetime as dt
+import inspect
 import json
 import math
 import random
@@ -119,3 +120,22 @@ def test_text_features(spark, tmp_path):
     want = unit_weights({i: {f"title:{w}" for w in t.lower().replace("!", "").split()} for _, i, t in items}, 20)
     got = {(r["item_id"], r["feature"]): r["w"] for r in qe.text_features(spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_baselines_run_with_the_full_parameters(spark, tmp_path, monkeypatch):
+    rnd = random.Random(3)
+    owned = {u: set(rnd.sample(range(40), 12)) for u in range(50)}
+    events(spark, tmp_path, [(u, i, 60 * u + i) for u, s in owned.items() for i in s])
+    n = {i: sum(i in s for s in owned.values()) for i in range(40)}
+    w = {(i, j): sum(i in s and j in s for s in owned.values()) / math.sqrt(n[i] * n[j]) for i in range(40) for j in range(40) if i != j}
+    want = set()
+    for u, s in owned.items():
+        score = {j: sum(w[i, j] for i in s) for j in range(40) if j not in s}
+        want |= {(u, r, j) for r, j in enumerate(sorted(score, key=lambda j: (-round(score[j], 9), j))[:10], 1)}
+    assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.item_knn_baseline(spark, str(tmp_path)).collect()} == want
+
+    used = {}
+    fit = inspect.signature(qe.ev.als_lists)
+    monkeypatch.setattr(qe.ev, "als_lists", lambda *a, **k: (b := fit.bind(*a, **k), b.apply_defaults(), used.update(b.arguments)))
+    qe.als_baseline(spark, str(tmp_path))
+    assert (used["n"], used["factors"], used["iterations"]) == (10, 64, 15)
