@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators.activity import sessions_by_gap
@@ -63,12 +64,14 @@ CELLS = {
     '"the ""big"" one, again" | "drama"': ['the "big" one, again', 'drama'],
     "[\"children's\", 'fantasy', 'sci-fi']": ["children's", 'fantasy', 'sci-fi'],
     "re-watch, 'salt, sweet, sour', X-Ray, 5 o'clock": ['re-watch', 'salt, sweet, sour', 'x-ray', "5 o'clock"],
-    '11\\/2 inch|pantry|a\;b test': ['11/2 inch', 'pantry', 'a;b test'],
+    '11\\/2 inch|pantry|a\\;b test': ['11/2 inch', 'pantry', 'a;b test'],
     "b&w/winter · long  read\t80's synth；b&w": ['b&w', 'winter', 'long read', "80's synth", 'b&w'],
     'single origin • winter，': ['single origin', 'winter'],
     'R&B;rock &amp; roll': ['r&b', 'rock & roll'],
     '"",soft,""': ['soft'],
     'N/A': [], '-': [], '[]': [], ' ': [], '': [], 'null': [], None: [],
+    'rock &#8211; roll; caf&eacute;&#44; bar;a&unknown;b;&#x3a3; x': ['rock – roll', 'café, bar', 'a&unknown', 'b', 'σ x'],
+    '“one, two”, „three; four“|«five/six»': ['one, two', 'three; four', 'five/six'],
     '{western,hack  and  slash,"a,b"}': ['western', 'hack and slash', 'a,b'],
 }
 
@@ -91,6 +94,14 @@ def test_packed_long_cell(spark):
     assert unpack_fields(df, "id", ["tags"]).where("item_value like 'v;%'").count() == 20000
 
 
+@pytest.mark.parametrize("a, b", ["''", '""', "“”"])
+def test_packed_long_quoted_value(spark, a, b):
+    body = "x, it's; " * 12_000 if b != "'" else "x, its; y'z " * 9_000  # over 100,000 characters in quotes
+    df = spark.createDataFrame([(1, f"one;{a}{body}{b};two")], "id long, tags string")
+    got = [r["item_value"] for r in unpack_fields(df, "id", ["tags"]).orderBy("value_no").collect()]
+    assert got == ["one", " ".join(body.split()), "two"]
+
+
 def test_items_without_metadata_stay(spark, tmp_path):
     log = [(e, 1) for e in range(60)] + [(e % 3, 2) for e in range(9)] + [(5, 3)]  # item 1 is heavy; 1 and 3 have no metadata
     spark.createDataFrame(log, "entity_id long, item_id long").write.parquet(f"{tmp_path}/interactions.parquet")
