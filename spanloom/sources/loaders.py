@@ -50,8 +50,12 @@ def _need(root: str, *names: str) -> list[str]:
     return [f"{root}/{n}" for n in names]
 
 
-def _has(root: str, name: str) -> bool:
-    return "://" in root or Path(root, name).exists()
+def _has(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether a file is there, on this machine or on any file system Spark reads."""
+    if "://" not in root:
+        return Path(root, name).exists()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def _csv(spark: SparkSession, path: str, need: set[str] | None = None, upper: bool = False) -> DataFrame:
@@ -108,10 +112,10 @@ def amazon_reviews(spark: SparkSession, path: str, default_rating: float | None
 
 def amazon(spark: SparkSession, root: str, name: str = "Beauty", test_fraction: float = 0.1) -> DatasetSplit:
     """5-core reviews with optional metadata (parent_asin, store, main_category)."""
-    (r,) = _need(root, f"{name}_5.json.gz") if _has(root, f"{name}_5.json.gz") else _need(root, f"{name}_5.json")
+    (r,) = _need(root, f"{name}_5.json.gz") if _has(spark, root, f"{name}_5.json.gz") else _need(root, f"{name}_5.json")
     items = None
     for meta in (f"meta_{name}.jsonl", f"meta_{name}.jsonl.gz"):
-        if _has(root, meta) and items is None:
+        if _has(spark, root, meta) and items is None:
             raw = spark.read.schema("parent_asin string, title string, store string, main_category string").option("mode", "DROPMALFORMED").json(f"{root}/{meta}")
             items = raw.where("parent_asin is not null").select(F.col("parent_asin").alias("item_id"), "title", F.col("store").alias("brand"), F.col("main_category").alias("category")).dropDuplicates(["item_id"])
     return _split(f"amazon-{name.lower()}", amazon_reviews(spark, r), items, "global", test_fraction)
@@ -157,20 +161,20 @@ def amazon_items(spark: SparkSession, path: str, catalog: DataFrame | None = Non
 
 def amazon_chrono(spark: SparkSession, root: str, test_fraction: float = 0.1) -> DatasetSplit:
     """All reviews in time order with the 2014 metadata."""
-    (r,) = _need(root, "reviews.json.gz") if _has(root, "reviews.json.gz") else _need(root, "reviews.json")
+    (r,) = _need(root, "reviews.json.gz") if _has(spark, root, "reviews.json.gz") else _need(root, "reviews.json")
     log = amazon_reviews(spark, r, 1.0)
-    meta = next((m for m in ("meta.json.gz", "meta.json") if _has(root, m)), None)
+    meta = next((m for m in ("meta.json.gz", "meta.json") if _has(spark, root, m)), None)
     items = amazon_items(spark, f"{root}/{meta}", log) if meta else None
     return _split("amazon-book-chrono", log, items, "global", test_fraction)
 
 
 def steam(spark: SparkSession, root: str, test_fraction: float = 0.1) -> DatasetSplit:
     """Reviews and games as Python literals."""
-    (r,) = _need(root, "steam_reviews.json.gz") if _has(root, "steam_reviews.json.gz") else _need(root, "steam_reviews.json")
+    (r,) = _need(root, "steam_reviews.json.gz") if _has(spark, root, "steam_reviews.json.gz") else _need(root, "steam_reviews.json")
     raw = literal_lines(spark, r, {"entity_id": "username", "item_id": "product_id", "date": "date", "hours": "hours"})
     log = raw.select("entity_id", "item_id", F.try_to_timestamp("date").cast("timestamp_ntz").alias("timestamp"), F.col("hours").try_cast("double").alias("hours")).dropna(subset=["entity_id", "item_id", "timestamp"])
     items = None
-    games = next((m for m in ("steam_games.json.gz", "steam_games.json") if _has(root, m)), None)
+    games = next((m for m in ("steam_games.json.gz", "steam_games.json") if _has(spark, root, m)), None)
     if games:
         g = literal_lines(spark, f"{root}/{games}", {k: k for k in ("id", "url", "title", "app_name", "genres", "tags", "specs", "developer", "publisher", "price", "release_date")})
         link = F.regexp_extract(F.coalesce("url", F.lit("")), r"/app/(\d+)", 1)
@@ -213,7 +217,7 @@ def instacart(spark: SparkSession, root: str, test_fraction: float = 0.1) -> Dat
 
 def tafeng(spark: SparkSession, root: str, test_fraction: float = 0.1) -> DatasetSplit:
     """Supermarket transactions; a session is a customer's day."""
-    name = next((n for n in ("ta_feng_all_months_merged.csv", "tafeng.csv") if _has(root, n)), "ta_feng_all_months_merged.csv")
+    name = next((n for n in ("ta_feng_all_months_merged.csv", "tafeng.csv") if _has(spark, root, n)), "ta_feng_all_months_merged.csv")
     (f,) = _need(root, name)
     raw = _csv(spark, f, {"TRANSACTION_DT", "CUSTOMER_ID", "PRODUCT_ID"}, upper=True)
     t = F.coalesce(F.try_to_timestamp("TRANSACTION_DT"), F.try_to_timestamp("TRANSACTION_DT", F.lit("M/d/yyyy")))
@@ -233,7 +237,7 @@ def dunnhumby(spark: SparkSession, root: str, test_fraction: float = 0.1) -> Dat
     t = F.expr("TIMESTAMP_NTZ'2017-01-01 00:00:00' + make_dt_interval(_d, 0, _m)")
     log = raw.select(F.col("HOUSEHOLD_KEY").cast("bigint").alias("entity_id"), F.col("PRODUCT_ID").cast("bigint").alias("item_id"), t.alias("timestamp"), F.col("BASKET_ID").cast("bigint").alias("session_id"), F.lit("purchase").alias("action_type"))
     items = None
-    if _has(root, "product.csv"):
+    if _has(spark, root, "product.csv"):
         p = _csv(spark, f"{root}/product.csv", {"PRODUCT_ID", "COMMODITY_DESC"}, upper=True)
         items = p.select(F.col("PRODUCT_ID").cast("bigint").alias("item_id"), F.col("COMMODITY_DESC").alias("category")).groupBy("item_id").agg(F.min("category").alias("category"))
     return _split("dunnhumby", log, items, "entity", test_fraction)
@@ -254,7 +258,7 @@ def academic(spark: SparkSession, root: str, name: str = "academic") -> DatasetS
 
 def gowalla(spark: SparkSession, root: str, test_fraction: float = 0.2) -> DatasetSplit:
     """Check-ins (user, UTC time, lat, lon, place), tab-separated; or the academic files."""
-    name = next((n for n in ("loc-gowalla_totalCheckins.txt.gz", "loc-gowalla_totalCheckins.txt") if _has(root, n) and "://" not in root), None)
+    name = next((n for n in ("loc-gowalla_totalCheckins.txt.gz", "loc-gowalla_totalCheckins.txt") if _has(spark, root, n)), None)
     if name is None:
         return academic(spark, root, "gowalla")
     p = F.split("value", "\t")
@@ -265,7 +269,7 @@ def gowalla(spark: SparkSession, root: str, test_fraction: float = 0.2) -> Datas
 
 def yelp(spark: SparkSession, root: str, test_fraction: float = 0.1) -> DatasetSplit:
     """Review JSON lines; or the academic files."""
-    name = next((n for n in ("yelp_academic_dataset_review.json", "review.json") if _has(root, n) and "://" not in root), None)
+    name = next((n for n in ("yelp_academic_dataset_review.json", "review.json") if _has(spark, root, n)), None)
     if name is None:
         return academic(spark, root, "yelp2018")
     raw = spark.read.schema("user_id string, business_id string, stars double, date string").option("mode", "DROPMALFORMED").json(f"{root}/{name}")
