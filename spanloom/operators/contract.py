@@ -28,18 +28,6 @@ class InteractionSchema:
     has_action: bool
     has_rating: bool
 
-    @property
-    def supports_time_decay(self) -> bool:
-        return self.has_timestamp
-
-    @property
-    def supports_sessions(self) -> bool:
-        return self.has_session or self.has_timestamp
-
-    @property
-    def supports_cost_graph(self) -> bool:
-        return self.has_action
-
 
 def violations(df: DataFrame) -> DataFrame:
     """One row of counts: rows, null ids, unreadable times, unknown actions, null sessions. Columns that are absent count 0."""

@@ -49,7 +49,7 @@ def frame(spark, **kw):
 
 def test_validation(spark):
     ok = ct.validate(frame(spark, timestamp=T0, session_id=1, action_type="view", rating=2.0))
-    assert ok.has_timestamp and ok.supports_sessions and ok.supports_cost_graph
+    assert ok.has_timestamp and ok.has_action
     for bad, text in [
         (spark.createDataFrame([(1,)], "entity_id long"), "item_id"),
         (frame(spark).where("false"), "empty"),
@@ -175,7 +175,31 @@ def test_ease_closed_form(spark):
     with pytest.raises(ValueError):
         es.fit_ease(log_of(spark, [(0, i) for i in range(5)]), max_items=3)
     g = np.array([[3.0, 1.0], [1.0, 2.0]])
-    assert np.all(apart("solve_admm", g) >= 0) and apart("solve_rlae", g, lam=1.0).shape == (2, 2)
+    rlae, p = apart("solve_rlae", g, lam=1.0, rho=0.5), np.linalg.inv(g + np.eye(2))
+    assert rlae[0, 1] == pytest.approx(-p[0, 1] / (p[1, 1] + 0.5)) and rlae[0, 0] == pytest.approx(1 - p[0, 0] / (p[0, 0] + 0.5))
+
+
+def test_admm_reaches_the_optimum():
+    rnd = np.random.default_rng(3)
+    x = (rnd.random((200, 6)) < 0.3).astype(float)
+    x[:, 1] = x[:, 0]
+    g = x.T @ x
+    b = apart("solve_admm", g, l1=1.0, l2=5.0, rho=50.0, steps=400).astype(float)
+    assert (b >= 0).all() and np.allclose(np.diag(b), 0) and b[0, 1] > 0.5
+    slope = g @ b - g + 5.0 * b + 1.0  # gradient of the objective with the l1 term
+    off = ~np.eye(6, dtype=bool)
+    assert np.allclose(slope[off & (b > 1e-6)], 0, atol=1e-2) and (slope[off & (b <= 1e-6)] > -1e-2).all()
+
+
+def test_ease_scores_do_not_depend_on_partitions(spark):
+    rnd = random.Random(7)
+    log = log_of(spark, [(e, rnd.randrange(40), i) for e in range(90) for i in range(rnd.randrange(1, 40))])
+    m = es.fit_ease(log)
+    hist = ch.multiplicity(log)
+    want = {(r["entity_id"], r["item_id"]): r["base"] for r in m.scores(hist).collect()}
+    for part in (hist.repartition(1), hist.repartition(7), hist.where("entity_id = 5")):
+        got = {(r["entity_id"], r["item_id"]): r["base"] for r in m.scores(part).collect()}
+        assert got == {k: v for k, v in want.items() if k in got} and len(got) in (len(want), m.n)
 
 
 def test_ease_scores_packed_equals_joined(spark, monkeypatch):
@@ -298,6 +322,16 @@ def test_heavy_keys_and_plan(spark):
 # ---------------------------------------------------------------- sessions
 
 
+def test_two_normals_against_their_densities():
+    rnd = np.random.default_rng(1)
+    x, n = np.unique(np.round(np.concatenate([rnd.normal(3, 0.6, 4000), rnd.normal(11, 1.5, 2000)]), 4), return_counts=True)
+    at, gain = inf.fit_two_normals(x, n.astype(float))
+    density = lambda v, m, s: np.exp(-0.5 * ((v - m) / s) ** 2) / s
+    grid = np.linspace(3, 11, 80_001)
+    assert abs(at - grid[np.argmax(density(grid, 3, 0.6) <= density(grid, 11, 1.5))]) < 0.1 and gain > 1000
+    assert inf.meeting_point((0.0, 1.0), (4.0, 1.0)) == pytest.approx(2.0) and inf.meeting_point((0.0, 9.0), (0.1, 0.01)) == pytest.approx(0.05)
+
+
 def test_infer_sessions(spark):
     rnd = random.Random(0)
     rows, truth = [], 0
