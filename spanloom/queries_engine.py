@@ -97,6 +97,15 @@ def validation_counts(spark, d):
     return ct.violations(ix_orders(spark, d))
 
 
+@query(
+    """select count(*) as n_rows, count(*) filter (entity_id is null) as null_entity, count(*) filter (item_id is null) as null_item, count(*) filter ("timestamp" is null) as bad_timestamp,
+count(*) filter (action_type is not null and action_type not in ('add','remove','positive_rating','negative_rating','rate','view','review','purchase','checkin')) as unknown_action, count(*) filter (session_id is null) as null_session from interactions"""
+)
+def validation_counts_raw(spark, d):
+    """The same over the raw log, which has nulls and actions of its own."""
+    return ct.violations(read(spark, d, "interactions"))
+
+
 @query(_O + f"select rating::double as rating, round({_W}, 6) as weight, count(*) as n from ixo group by all")
 def interaction_weights(spark, d):
     return ct.weighted(ix_orders(spark, d)).groupBy("rating", r6("weight")).agg(F.count(F.lit(1)).alias("n"))
@@ -152,7 +161,7 @@ def catalog_index(spark, d):
 
 @query(
     _O
-    + """, t as (select * from ixo where item_id % 10 <> 0), i as (select distinct item_id from t), x as (select p_partkey as item_id from part where p_partkey not in (select item_id from i)),
+    + """, i as (select distinct item_id from ixo), x as (select p_partkey as item_id from part where p_partkey not in (select item_id from i)),
 u as (select item_id, row_number() over (order by item_id) - 1 as item_idx, true as is_train from i
 union all select item_id, row_number() over (order by item_id) - 1 + (select count(*) from i), false from x) select * from u"""
 )
@@ -263,7 +272,7 @@ def popularity(spark, d):
     return ch.popularity(orders_log(spark, d))
 
 
-@query("with i as (select p_partkey as item_id from part), n as (select l_partkey as item_id, count(*) as n from lineitem where l_partkey % 10 <> 0 group by 1) select item_id, round(greatest(0.0, least(1.0, 1 - coalesce(n, 0) / 20.0)), 6)::double as coldness from i left join n using (item_id)")
+@query("with i as (select p_partkey as item_id from part), n as (select l_partkey as item_id, count(*) as n from lineitem group by 1) select item_id, round(greatest(0.0, least(1.0, 1 - coalesce(n, 0) / 20.0)), 6)::double as coldness from i left join n using (item_id)")
 def coldness(spark, d):
     items = ch.popularity(orders_log(spark, d), meta_part(spark, d))
     return items.select("item_id", F.round(ch.coldness(F.col("n")), 6).alias("coldness"))
@@ -314,7 +323,7 @@ def user_cf_scores(spark, d):
 
 
 _FEAT = """with q as (select quantile_cont(p_size, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qs, quantile_cont(p_retailprice, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qp from part),
-raw as (select p_partkey as item_id, 'p_brand=' || lower(trim(p_brand)) as feature from part union all select p_partkey, 'p_type=' || lower(trim(p_type)) from part
+raw as (select p_partkey as item_id, 'p_name=' || lower(trim(p_name)) as feature from part union all select p_partkey, 'p_brand=' || lower(trim(p_brand)) from part union all select p_partkey, 'p_type=' || lower(trim(p_type)) from part
 union all select p_partkey, 'p_size=bin' || len([x for x in list_distinct(qs) if x < p_size]) from part, q
 union all select p_partkey, 'p_retailprice=bin' || len([x for x in list_distinct(qp) if x < p_retailprice]) from part, q),
 nn as (select count(*) as n from part), df as (select feature, count(distinct item_id) as df from raw, nn group by feature, n having count(distinct item_id) >= 2 and count(distinct item_id) <= greatest(n // 2, 1)),
@@ -500,29 +509,53 @@ def ease_topk(spark, d):
     return sc.top_n(pooled.withColumn("composite", F.col("score")), TOP, "ease").select("entity_id", "rank", "item_id", r6("score"))
 
 
-_COLD = _FEAT.replace("with q as", f"with ixa as (select * from (with {_IXO} select * from ixo) where item_id % 10 <> 0), q as", 1)
+#: Rows at which an item of the orders view stops being cold; every part has more than the default of 20.
+WARM = 100
+_COLD = (
+    _FEAT
+    + f", {_IXO}"
+    + """, hi as (select entity_id, item_id, count(*) as cnt from ixo group by all), pr as (select entity_id, feature, sum(cnt * w) as p from hi join f using (item_id) group by all),
+cn as (select entity_id, item_id, sum(p * w) as content from pr join f using (feature) group by all), c0 as (select item_id, count(*) as n from ixo group by 1),
+cd as (select p_partkey as item_id from part left join c0 on c0.item_id = p_partkey where 1 - coalesce(n, 0) / 100.0 >= 0.75), us as (select distinct entity_id from ixo),
+mo as (select entity_id, sum(content) / n as m, sqrt(sum(content * content) / n - pow(sum(content) / n, 2)) as s from cn, nn group by entity_id, n),
+z as (select us.entity_id, cd.item_id, coalesce((coalesce(content, 0) - m) / s, 0) as score from us cross join cd left join cn using (entity_id, item_id) left join mo using (entity_id) anti join hi using (entity_id, item_id))"""
+)
+
+
+def _cold_shelf(log: DataFrame, meta: DataFrame, slots: int, listed: DataFrame | None = None) -> DataFrame:
+    items = ch.popularity(log, meta).withColumn("coldness", ch.coldness(F.col("n"), WARM))
+    cold = items.where("coldness >= 0.75").select("item_id", F.lit(0.0).alias("recency"))
+    content = ch.content_scores(ch.multiplicity(log), cut(ft.item_features(meta)))
+    return sc.cold_candidates(content, cold, log, meta.count(), 2.0, slots, listed)
 
 
 @query(
     _COLD
-    + """, hi as (select entity_id, item_id, count(*) as cnt from ixa group by all), pr as (select entity_id, feature, sum(cnt * w) as p from hi join f using (item_id) group by all),
-cn as (select entity_id, item_id, sum(p * w) as content from pr join f using (feature) group by all), cd as (select p_partkey as item_id from part where p_partkey % 10 = 0 or p_partkey not in (select l_partkey from lineitem)),
-nt as (select item_id from ixa group by 1 having count(*) <= 5), cc as (select item_id from cd union select item_id from nt),
-mo as (select entity_id, sum(content) / n as m, sqrt(sum(content * content) / n - pow(sum(content) / n, 2)) as s from cn, nn group by entity_id, n),
-z as (select cn.entity_id, item_id, (content - m) / s as score from cn join mo using (entity_id) semi join cc using (item_id) anti join hi using (entity_id, item_id)),
-r as (select *, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as rank from z)
+    + """, r as (select *, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as rank from z)
 select entity_id, rank::integer as rank, item_id, round(score, 5) as score from r where rank <= 10"""
 )
 def cold_slot_topk(spark, d):
-    log = cut(orders_log(spark, d))
-    meta = meta_part(spark, d)
-    items = ch.popularity(log, meta).withColumn("coldness", ch.coldness(F.col("n")))
-    cold = items.where("coldness >= 0.75").select("item_id", F.lit(0.0).alias("recency"))
-    content = ch.content_scores(ch.multiplicity(log), cut(part_features(spark, d)))
-    best = sc.pool(sc.cold_candidates(content, cold, log, meta.count(), 2.0, TOP), TOP)
+    log, meta = cut(orders_log(spark, d)), meta_part(spark, d)
+    best = sc.pool(_cold_shelf(log, meta, TOP), TOP)
     return best.select("entity_id", F.col("place").alias("rank"), "item_id", F.round("score", 5).alias("score"))
 
 
+@query(
+    _COLD
+    + """, n0 as (select item_id, count(*)::double as n from ixo group by 1),
+li as (select us.entity_id, n0.item_id, n as score, row_number() over (partition by us.entity_id order by n desc, n0.item_id) as rank from us cross join n0 anti join hi using (entity_id, item_id) qualify rank <= 10),
+pk as (select z.*, row_number() over (partition by entity_id order by round(z.score, 9) desc, item_id) as k from z anti join li using (entity_id, item_id) qualify k <= 3),
+np as (select entity_id, count(*) as picks from pk group by 1), kp as (select li.* from li left join np using (entity_id) where rank <= 10 - coalesce(picks, 0)), ln as (select entity_id, count(*) as have from kp group by 1)
+select entity_id, rank::integer as rank, item_id, round(score, 5) as score, 'popularity' as base_kind from kp
+union all select entity_id, (coalesce(have, 0) + k)::integer, item_id, round(score, 5), 'cold_content' from pk left join ln using (entity_id)"""
+)
+def cold_slot_lists(spark, d):
+    """Popularity lists whose last three places are reserved for cold items by content."""
+    log, meta = cut(orders_log(spark, d)), meta_part(spark, d)
+    top = cut(ev.popularity_lists(log, log, TOP).withColumn("base_kind", F.lit("popularity")))
+    return sc.with_cold_slots(top, _cold_shelf(log, meta, 3, top), 3, TOP).select("entity_id", "rank", "item_id", F.round("score", 5).alias("score"), "base_kind")
+
+
 _SEED = """, sd as (select entity_id, min(item_id) as item_id from ixo group by 1 union select entity_id, max(item_id) from ixo group by 1), ns as (select entity_id, count(*) as n_seeds from sd group by 1),
 sb as (select entity_id, j as item_id, sum(w) as base from sd join wb on wb.i = sd.item_id group by all), lp as (select item_id, ln(1 + count(*)) as l from ixo group by 1), pz as (select item_id, (l - avg(l) over ()) / stddev_pop(l) over () as pz from lp),
 sq as (select ns.entity_id, pz.item_id, coalesce(base, 0) + 8.0 / n_seeds * pz as score from ns cross join pz left join sb using (entity_id, item_id)),
@@ -629,7 +662,7 @@ def personal_frequency_baseline(spark, d):
     + """, x as (select distinct entity_id, item_id from ixe), n as (select item_id, count(*) as n from x group by 1),
 c as (select a.item_id as i, b.item_id as j, count(*) as c from x a join x b on a.entity_id = b.entity_id and a.item_id <> b.item_id group by all),
 w as (select i, j, c / sqrt(p.n * q.n) as w from c join n p on p.item_id = i join n q on q.item_id = j), k as (select *, row_number() over (partition by i order by round(w, 12) desc, j) as r from w),
-s as (select entity_id, j as item_id, sum(w) as score from x join k on k.i = x.item_id where r <= 20 group by all), o as (select s.*, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as rank from s anti join x using (entity_id, item_id))
+s as (select entity_id, j as item_id, sum(w) as score from x join k on k.i = x.item_id where r <= 200 group by all), o as (select s.*, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as rank from s anti join x using (entity_id, item_id))
 select entity_id, rank::integer as rank, item_id, round(score, 6) as score from o where rank <= 10"""
 )
 def item_knn_baseline(spark, d):

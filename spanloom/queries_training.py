@@ -74,5 +74,5 @@ union all select 'item_id', item_id from interactions, n where item_id is not nu
 from interactions group by entity_id""",
     "p6_items": """
 with m as (select item_id, arg_min(title, meta_id) as title from items group by 1)
-select item_id, count(*) as n_rows, count(distinct entity_id) as n_entities, max(title) as title from interactions join m using (item_id) group by item_id""",
+select item_id, count(*) as n_rows, count(distinct entity_id) as n_entities, max(title) as title from interactions left join m using (item_id) group by item_id""",
 }
