@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +52,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that every executor reaches: the session's ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, notebooks) a private folder of this machine is used.
+    Only a session on one machine may leave it unset (tests, notebooks); it then gets a private
+    folder, deleted when Python ends. A cluster without the setting is refused.
     """
-    sc = guard(df.sparkSession).sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
+    sc = guard(spark).sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder and go on from the written rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below the shared folder and go on from the table.
+
+    Like ``cut``, but compressed and column by column: later steps read the columns they need only,
+    and the optimizer knows the size. The partitioning is not kept.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything ``cut`` and ``stage`` wrote in this session; DataFrames built on it end with it."""
+    sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(have.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for an expensive per-row stage when the input came in too few splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
