@@ -1,17 +1,16 @@
-"""Same or near-same records across splits: minwise hashes in banded buckets, then exact checks."""
+"""Same or near-same records across splits: buckets of the least minwise hashes, then exact checks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.runtime import cut, micros
+from spanloom.runtime import micros, spread, stage
 
-#: Rows of a band and number of bands. At Jaccard 0.6 one band of 4 agrees with probability 0.13;
-#: all 64 bands miss a pair with probability 1.4e-4, at 0.8 with 5e-15.
-ROWS, BANDS = 4, 64
+#: Cells of the word counts that put rare words first, and rows of a side that one task pairs in a bucket.
+CELLS, BLOCK = 1 << 15, 4096
 
 
 def words_of(text: Column) -> Column:
@@ -25,132 +24,150 @@ def canonical_id(c: Column) -> Column:
     return F.regexp_replace(plain, "(?<![0-9])0+(?=[0-9])", "")
 
 
-def band_keys(values: np.ndarray, offsets: np.ndarray, rows: int = ROWS, bands: int = BANDS, seed: int = 11) -> np.ndarray:
-    """(documents x bands) bucket keys from ragged 64-bit word hashes; every document has a word."""
-    rng = np.random.default_rng(seed)
-    salt = rng.integers(1, 2**63, size=rows * bands, dtype=np.uint64)
-    mult = rng.integers(1, 2**63, size=rows * bands, dtype=np.uint64) | np.uint64(1)
-    v = values.astype(np.uint64, copy=False)
-    out = np.empty((len(offsets) - 1, bands), np.uint64)
-    starts = offsets[:-1]
-    shift = np.uint64(32)
-    for b in range(bands):
-        key = np.full(len(starts), np.uint64(b * 0x9E3779B97F4A7C15 % 2**64), np.uint64)
-        for r in range(b * rows, (b + 1) * rows):
-            h = (v ^ salt[r]) * mult[r]
-            h ^= h >> shift
-            h *= np.uint64(0xFF51AFD7ED558CCD)
-            low = np.minimum.reduceat(h, starts)
-            key = (key ^ low) * np.uint64(0xC4CEB9FE1A85EC53)
-            key ^= key >> shift
-        out[:, b] = key
-    return out.view(np.int64)
-
-
-def _with_bands(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    schema = "rep long, n int, m0 long, m1 long, in_train boolean, in_test boolean, bands array<long>"
+def least_hashes(values: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket keys, offsets): of each document's word hashes the least ones, in an order that puts rare words first.
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            h = b.column(6)
-            off = np.asarray(h.offsets).astype(np.int64)
-            vals = np.asarray(h.values)[off[0] : off[-1]].view(np.uint64)
-            keys = band_keys(vals, off - off[0], rows, bands)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), lists], ["rep", "n", "m0", "m1", "in_train", "in_test", "bands"])
+    A document of n words keeps n - ceil(threshold n) + 1 of them. Two documents with Jaccard
+    similarity at or above the threshold then have a kept hash in common, whatever the order, as
+    long as it is one and the same for all documents.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, counts[values % np.uint64(len(counts))], owner))
+    place = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
+    keep = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    kept = np.minimum(keep, sizes)
+    return values[order][place < np.repeat(kept, sizes)].view(np.int64), np.concatenate([[0], np.cumsum(kept)])
 
-    return docs.mapInArrow(run, schema)
 
+def word_classes(records: DataFrame, record_id: str, split: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): records with the same set of words form a class.
 
-def _bits(hashes: Column, word: int) -> Column:
-    """64 bits, one set per word that falls to this half of a 128-bit picture of the word set."""
-    mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(128)) >= 64 if word else F.pmod(h, F.lit(128)) < 64)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+    members: ``(id, split, h1, h2)``; classes: ``(h1, h2, rep, words, n, n_train, n_test)`` with the
+    least record id as representative and the number of records on each side. h1 and h2 are a
+    128-bit hash of the words. Copies are folded, map-side first, before anything is compared.
+    """
+    base = records.select(F.col(record_id).alias("id"), F.col(split).alias("split"), words_of(F.col(text)).alias("w")).where(F.size("w") >= min_words)
+    base = base.select("id", "split", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
+    h = [F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(7)).alias("h2")]
+    classes = base.groupBy("words", "n").agg(F.min("id").alias("rep"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    return base.select("id", "split", *h), classes.select(*h, "rep", "words", "n", "n_train", "n_test")
 
 
-def word_classes(records: DataFrame, record_id: str, split: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): records with the same set of words form a class.
+def _signatures(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(bucket, rep, n, picture, in_train, in_test)``: one row per class and kept hash.
 
-    members: ``(record_id, split, key)``; classes: ``(key, rep, words, hashes, in_train, in_test)``
-    with the least record id as representative. Copies are folded before anything is compared.
+    ``picture`` has one of 64 bits set per word.
     """
-    base = records.select(F.col(record_id).alias("id"), F.col(split).alias("split"), words_of(F.col(text)).alias("words")).where(F.size("words") >= min_words)
-    base = base.withColumn("key", F.md5(F.array_join("words", " ")))
-    members = base.select("id", "split", "key")
-    heads = members.groupBy("key").agg(
-        F.min("id").alias("rep"), F.bool_or(F.col("split") == "train").alias("in_train"), F.bool_or(F.col("split") == "test").alias("in_test")
-    )
-    classes = heads.join(base.select(F.col("id").alias("rep"), "words"), "rep").withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    return members, classes
+    spark = classes.sparkSession
+    words = F.split("words", " ")
+    counts = np.zeros(CELLS, np.int64)
+    for r in classes.select(F.explode(words).alias("x")).groupBy(F.xxhash64("x").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("c")).count().collect():  # at most CELLS rows
+        counts[r["c"]] = r["count"]
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            h = b.column(4)
+            off = np.asarray(h.offsets).astype(np.int64)
+            vals = np.asarray(h.values)[off[0] : off[-1]].view(np.uint64)
+            off -= off[0]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (vals >> np.uint64(40) & np.uint64(63)), off[:-1]).view(np.int64)
+            keys, ends = least_hashes(vals, off, shared.value, threshold)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(bits), lists], ["rep", "n", "in_train", "in_test", "picture", "keys"])
+
+    rows = classes.select("rep", "n", (F.col("n_train") > 0).alias("in_train"), (F.col("n_test") > 0).alias("in_test"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    kind = dict(classes.dtypes)["rep"]
+    out = spread(rows).mapInArrow(run, f"rep {kind}, n int, in_train boolean, in_test boolean, picture long, keys array<long>")
+    return out.select(F.explode("keys").alias("bucket"), "rep", "n", "picture", "in_train", "in_test")
 
 
-def similar_classes(classes: DataFrame, threshold: float, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """``(rep_train, rep_test, jaccard)`` of different classes at or above ``threshold``.
 
-    Only buckets that a training and a test class share give candidates. A candidate carries the
-    sizes and 128-bit pictures of both word sets; the words of one side that have no bit in the
-    other bound the shared words from above, which drops nearly all chance candidates before
-    anything is fetched. The rest is checked exactly on the words.
+    Every word is hashed once; a class falls into the buckets of its least hashes (bottom-k minwise
+    hashing in an order that puts rare words first), which no pair at the threshold can avoid
+    sharing. Only buckets with a training and a test class go on. Sizes and 64-bit pictures of the
+    word sets bound the shared words from above, which drops nearly all chance candidates where
+    they meet; the rest is checked exactly on the words. Buckets of many classes are cut into
+    blocks of about ``BLOCK`` rows of each side, paired block against block by different tasks.
     """
-    docs = classes.select("rep", F.size("hashes").alias("n"), _bits(F.col("hashes"), 0).alias("m0"), _bits(F.col("hashes"), 1).alias("m1"), "in_train", "in_test", "hashes")
-    # the docs come out of a join whose few small partitions would leave most cores idle while hashing
-    spark = docs.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sides = [_with_bands(docs.where(side).repartition(tasks), rows, bands).select("rep", "n", "m0", "m1", F.explode("bands").alias("band")) for side in ("in_train", "in_test")]
-    a = sides[0].select("band", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("m0").alias("a0"), F.col("m1").alias("a1"))
-    b = sides[1].select("band", F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
-    only_a = F.bit_count(F.expr("a0 & ~b0")) + F.bit_count(F.expr("a1 & ~b1"))
-    only_b = F.bit_count(F.expr("b0 & ~a0")) + F.bit_count(F.expr("b1 & ~a1"))
-    shared = F.least(F.col("na") - only_a, F.col("nb") - only_b)
-    cand = (
-        a.join(b, "band")
-        .where((F.col("ra") != F.col("rb")) & (shared >= F.lit(threshold - 1e-9) * (F.col("na") + F.col("nb") - shared)))
-        .select("ra", "rb")
-        .distinct()
-    )
-    texts = classes.select("rep", "words")
-    both = cand.join(texts.select(F.col("rep").alias("ra"), F.col("words").alias("wa")), "ra").join(texts.select(F.col("rep").alias("rb"), F.col("words").alias("wb")), "rb")
+    by = Window.partitionBy("bucket")
+    live = _signatures(classes, threshold).select("*", *[F.ceil(F.count_if(F.col(s)).over(by) / BLOCK).cast("int").alias(b) for s, b in (("in_train", "ba"), ("in_test", "bb"))]).where("ba > 0 and bb > 0")
+    sides = []
+    for own, mine, other, tag in (("in_train", "ba", "bb", "a"), ("in_test", "bb", "ba", "b")):
+        rows = live.where(own)
+        names = ["bucket", F.col("rep").alias(f"r{tag}"), F.col("n").alias(f"n{tag}"), F.col("picture").alias(f"p{tag}")]
+        block = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
+        large = rows.where("ba > 1 or bb > 1").select(*names, block.alias(f"x{tag}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"y{tag}"))
+        sides.append((rows.where("ba = 1 and bb = 1").select(*names), large))
+    # words of one side without a bit in the other's picture are not shared
+    shared = F.least(F.col("na") - F.bit_count(F.expr("pa & ~pb")), F.col("nb") - F.bit_count(F.expr("pb & ~pa")))
+    near = (F.col("ra") != F.col("rb")) & (shared >= F.lit(threshold - 1e-9) * (F.col("na") + F.col("nb") - shared))
+    small = sides[0][0].join(sides[1][0], "bucket").where(near).select("ra", "rb")
+    large = sides[0][1].join(sides[1][1].withColumnsRenamed({"xb": "ya", "yb": "xa"}), ["bucket", "xa", "ya"]).where(near).select("ra", "rb")
+    cand = stage(small.unionByName(large).distinct())
+    texts = classes.select("rep", F.split("words", " ").alias("w"))
+    both = cand.join(texts.select(F.col("rep").alias("ra"), F.col("w").alias("wa")), "ra").join(texts.select(F.col("rep").alias("rb"), F.col("w").alias("wb")), "rb")
     common = F.size(F.array_intersect("wa", "wb"))
     jac = common / (F.size("wa") + F.size("wb") - common)
     return both.select(F.col("ra").alias("rep_train"), F.col("rb").alias("rep_test"), jac.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def linked_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(rep_train, rep_test)`` of all classes that overlap, those with records on both sides included."""
+    pairs = similar_classes(classes, threshold).select("rep_train", "rep_test")
+    return stage(pairs.unionByName(classes.where("n_train > 0 and n_test > 0").select(F.col("rep").alias("rep_train"), F.col("rep").alias("rep_test"))))
+
+
 def text_overlaps(records: DataFrame, record_id: str, split: str, text: str, min_words: int = 8, threshold: float = 0.6) -> DataFrame:
     """``(train_id, test_id)`` of records whose texts share at least ``threshold`` of their different words."""
     members, classes = word_classes(records, record_id, split, text, min_words)
-    classes = cut(classes)  # read by both sides, both checks and the way back to the records
-    pairs = similar_classes(classes, threshold).select("rep_train", "rep_test")
-    same = classes.where("in_train and in_test").select(F.col("rep").alias("rep_train"), F.col("rep").alias("rep_test"))
-    linked = pairs.unionByName(same)
-    place = members.join(classes.select("key", "rep"), "key")
+    classes = stage(classes)
+    linked = linked_classes(classes, threshold)
+    # only the records of classes that have a link are looked up and moved
+    reps = stage(classes.select("h1", "h2", "rep").join(linked.select(F.explode(F.array("rep_train", "rep_test")).alias("rep")).distinct(), "rep"))
+    place = stage(members.join(reps, ["h1", "h2"]).select("id", "split", "rep"))
     train = place.where(F.col("split") == "train").select(F.col("rep").alias("rep_train"), F.col("id").alias("train_id"))
     test = place.where(F.col("split") == "test").select(F.col("rep").alias("rep_test"), F.col("id").alias("test_id"))
     return linked.join(train, "rep_train").join(test, "rep_test").select("train_id", "test_id")
 
 
-def field_overlaps(
-    records: DataFrame, record_id: str, split: str, source: str, ids: list[str], ts: str, rating: str, seconds: int = 300, rating_gap: float = 0.5
-) -> DataFrame:
-    """``(train_id, test_id)`` of records of one source that agree in all ``ids`` up to spelling and nearly in time and rating.
+def _field_sides(base: DataFrame, carried: list[str], seconds: int, rating_gap: float) -> DataFrame:
+    """Training and test rows of ``base`` (split, k1, k2, t, r and ``carried``) that agree; carried columns come as _a and _b.
 
-    Times are put into windows of ``seconds``; a test record looks into its own and both
-    neighbouring windows, so the join stays an equi-join.
+    k1 and k2 are a 128-bit hash of source and ids. Windows are twice as wide as the time allowed,
+    so a test row looks into at most two and the join stays an equi-join.
     """
     width = seconds * 1_000_000
-    base = records.select(
-        F.col(record_id).alias("id"), F.col(split).alias("split"), F.col(source).alias("src"), *[canonical_id(F.col(c)).alias(f"k{i}") for i, c in enumerate(ids)],
-        micros(F.col(ts)).alias("t"), F.col(rating).cast("double").alias("r"),
-    ).where(F.col("t").isNotNull())
-    base = base.withColumn("w", F.floor(F.col("t") / width))
-    keys = ["src", *[f"k{i}" for i in range(len(ids))], "w"]
-    train = base.where(F.col("split") == "train").select(*keys, F.col("id").alias("train_id"), F.col("t").alias("ta"), F.col("r").alias("ra"))
-    test = base.where(F.col("split") == "test").select(
-        *keys[:-1], F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), F.col("id").alias("test_id"), F.col("t").alias("tb"), F.col("r").alias("rb")
-    )
+    cell = lambda t: F.floor(t / F.lit(2 * width))
+    base = base.where(F.col("t").isNotNull())
+    keys = ["k1", "k2", "w"]
+    side = lambda x, w: [*keys[:2], w.alias("w"), F.col("t").alias(f"t{x}"), F.col("r").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in carried]]
+    train = base.where(F.col("split") == "train").select(*side("a", cell(F.col("t"))))
+    test = base.where(F.col("split") == "test").select(*side("b", F.explode(F.array_distinct(F.array(cell(F.col("t") - width), cell(F.col("t") + width))))))
     near = (F.abs(F.col("ta") - F.col("tb")) <= width) & (F.col("ra").isNull() | F.col("rb").isNull() | (F.abs(F.col("ra") - F.col("rb")) <= rating_gap))
-    return train.join(test, keys).where(near).select("train_id", "test_id")
+    return train.join(test, keys).where(near)
+
+
+def _field_base(records: DataFrame, split: str, source: str, ids: list[str], ts: str, rating: str) -> list[Column]:
+    canon = [canonical_id(F.col(c)) for c in ids]
+    known = F.col(source).isNotNull()
+    for c in ids:
+        known &= F.col(c).isNotNull()
+    text = F.when(known, F.concat_ws("\x1f", F.col(source).cast("string"), *canon))
+    return [F.col(split).alias("split"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"), F.when(text.isNotNull(), micros(F.col(ts))).alias("t"), F.col(rating).cast("double").alias("r")]
+
+
+def field_overlaps(
+    records: DataFrame, record_id: str, split: str, source: str, ids: list[str], ts: str, rating: str, seconds: int = 300, rating_gap: float = 0.5
+) -> DataFrame:
+    """``(train_id, test_id)`` of records of one source that agree in all ``ids`` up to spelling and nearly in time and rating."""
+    base = records.select(F.col(record_id).alias("id"), *_field_base(records, split, source, ids, ts, rating))
+    return _field_sides(base, ["id"], seconds, rating_gap).select(F.col("id_a").alias("train_id"), F.col("id_b").alias("test_id"))
 
 
 def cross_split_overlaps(records: DataFrame) -> DataFrame:
@@ -163,3 +180,36 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     texts = text_overlaps(records, "record_id", "split", "remark")
     fields = field_overlaps(records, "record_id", "split", "source", ["entity_id", "item_id"], "timestamp", "rating")
     return texts.unionByName(fields).distinct()
+
+
+def overlap_report(records: DataFrame, min_words: int = 8, threshold: float = 0.6) -> DataFrame:
+    """``(split, source, n_records, n_overlapping, n_pairs)`` of the same overlaps, counted without listing the pairs.
+
+    Records that agree in all that is compared are one cell with a count, so copies on both sides
+    are multiplied as numbers: a cell's links are the sizes of the classes linked to its own, plus
+    the sizes of the cells that agree in the fields and are not linked by text already.
+    """
+    _, classes = word_classes(records, "record_id", "split", "remark", min_words)
+    classes = stage(classes)
+    linked = linked_classes(classes, threshold)
+    reps = classes.select("h1", "h2", "rep")
+    words = words_of(F.col("remark"))
+    text = F.when(F.size(words) >= min_words, F.array_join(words, " "))
+    base = records.select("source", *_field_base(records, "split", "source", ["entity_id", "item_id"], "timestamp", "rating"), text.alias("x"))
+    base = base.withColumns({"h1": F.when(F.col("x").isNotNull(), F.xxhash64("x")), "h2": F.when(F.col("x").isNotNull(), F.xxhash64("x", F.lit(7)))}).drop("x")
+    what = ["split", "source", "k1", "k2", "t", "r"]
+    cells = base.groupBy(*what, "h1", "h2").agg(F.count(F.lit(1)).alias("n")).join(reps, ["h1", "h2"], "left")
+    cells = stage(cells.select(F.xxhash64(*what, "h1", "h2").alias("cell"), F.xxhash64(F.lit(7), *what, "h1", "h2").alias("cell2"), *what, "rep", "n"))
+    size = lambda side: classes.select(F.col("rep").alias(f"rep_{side}"), F.col(f"n_{side}").alias("n"))
+    by_text = linked.join(size("test"), "rep_test").select(F.lit("train").alias("split"), F.col("rep_train").alias("rep"), "n")
+    by_text = by_text.unionByName(linked.join(size("train"), "rep_train").select(F.lit("test").alias("split"), F.col("rep_test").alias("rep"), "n"))
+    by_text = by_text.groupBy("split", "rep").agg(F.sum("n").alias("by_text"))
+    fields = _field_sides(cells, ["cell", "cell2", "rep", "n"], 300, 0.5)
+    fields = fields.join(linked.withColumnsRenamed({"rep_train": "rep_a", "rep_test": "rep_b"}), ["rep_a", "rep_b"], "left_anti")
+    by_field = fields.select("cell_a", "cell2_a", F.col("n_b").alias("n")).toDF("cell", "cell2", "n").unionByName(fields.select("cell_b", "cell2_b", F.col("n_a").alias("n")).toDF("cell", "cell2", "n"))
+    by_field = by_field.groupBy("cell", "cell2").agg(F.sum("n").alias("by_field"))
+    links = F.coalesce("by_text", F.lit(0)) + F.coalesce("by_field", F.lit(0))
+    rows = cells.join(by_text, ["split", "rep"], "left").join(by_field, ["cell", "cell2"], "left").withColumn("links", links)
+    return rows.groupBy("split", "source").agg(
+        F.sum("n").alias("n_records"), F.coalesce(F.sum(F.when(F.col("links") > 0, F.col("n"))), F.lit(0)).alias("n_overlapping"), F.sum(F.col("n") * F.col("links")).alias("n_pairs")
+    )

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from spanloom.llm.cooccurrence import items_together
 from spanloom.llm.fusion import fuse_rankings
 from spanloom.llm.leakage import leaked_items
-from spanloom.llm.overlap import cross_split_overlaps
+from spanloom.llm.overlap import cross_split_overlaps, overlap_report
 from spanloom.llm.packing import pack_all
 from spanloom.llm.sentences import sentence_units
 from spanloom.llm.topn import top_n_per_group
-from spanloom.runtime import cut, read
+from spanloom.runtime import read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,15 +28,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per split and source: records, records that overlap the other split, and pairs they are in."""
-    records = read(spark, d, "split_records")
-    pairs = cut(cross_split_overlaps(records))
-    sides = pairs.select(F.explode(F.array("train_id", "test_id")).alias("record_id")).groupBy("record_id").count()
-    return (
-        records.select("record_id", "split", "source")
-        .join(sides, "record_id", "left")
-        .groupBy("split", "source")
-        .agg(F.count(F.lit(1)).alias("n_records"), F.count("count").alias("n_overlapping"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_pairs"))
-    )
+    return overlap_report(read(spark, d, "split_records"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import cooccurrence as co
+from spanloom.llm import overlap
 from spanloom.llm.fusion import fuse_rankings
 from spanloom.llm.leakage import leaked_items, plain_words
-from spanloom.llm.overlap import cross_split_overlaps
+from spanloom.llm.overlap import cross_split_overlaps, overlap_report
 from spanloom.llm.packing import pack, pack_all, plan_containers, step_groups, token_counts
 from spanloom.llm.sentences import sentence_units, unit_ends
 from spanloom.llm.topn import top_n_per_group
@@ -56,7 +57,7 @@ def test_top_n_large_n(spark):
 # ---------------------------------------------------------------- overlaps
 
 
-def test_overlaps(spark):
+def test_overlaps(spark, monkeypatch):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -85,9 +86,31 @@ def test_overlaps(spark):
             want.add(tuple(sorted((a[0], b[0]))))
     got = [tuple(sorted((r["train_id"], r["test_id"]))) for r in cross_split_overlaps(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    links = Counter(i for p in want for i in p)
+    report = {}
+    for r in rows:
+        n = report.setdefault((r[2], r[1]), [0, 0, 0])
+        n[0], n[1], n[2] = n[0] + 1, n[1] + (links[r[0]] > 0), n[2] + links[r[0]]
+    assert {(r["split"], r["source"]): [r["n_records"], r["n_overlapping"], r["n_pairs"]] for r in overlap_report(df).collect()} == report
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    assert {tuple(sorted((r["train_id"], r["test_id"]))) for r in cross_split_overlaps(df).collect()} == want
     assert cross_split_overlaps(df.where("false")).count() == 0
 
 
+def test_one_bucket_of_many_classes(spark):
+    """Boilerplate that 30,000 different texts share stays in split buckets and gives exactly the near copies."""
+    n = 30_000
+    own = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.concat(F.lit("w"), F.floor(F.col("id") / 2), F.lit("x"), i)), " ")
+    df = spark.range(n).select(
+        F.col("id").alias("record_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("item_id"),
+        F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("double").alias("rating"),
+        # records 2k and 2k + 1 have three words of their own in common, all others the five common ones only
+        F.concat(F.lit("as seen on our site "), own, F.when(F.col("id") % 2 == 0, " even").otherwise(" odd")).alias("remark"),
+    )
+    got = cross_split_overlaps(df)
+    assert got.where("test_id = train_id + 1").count() == n // 2 == got.count()
+
+
 # ---------------------------------------------------------------- co-occurrence
 
 
