@@ -11,10 +11,10 @@ from spanloom.llm.cooccurrence import items_together
 from spanloom.llm.fusion import fuse_rankings
 from spanloom.llm.leakage import leaked_items
 from spanloom.llm.overlap import cross_split_overlaps, overlap_report
-from spanloom.llm.packing import pack_all
+from spanloom.llm.packing import pack_all, token_counts
 from spanloom.llm.sentences import sentence_units
 from spanloom.llm.topn import top_n_per_group
-from spanloom.runtime import read
+from spanloom.runtime import read, stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +59,21 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_all(read(spark, d, "documents"), read(spark, d, "pack_targets"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per container size: documents placed, and what may not be: overfull containers, small documents divided, tokens lost or doubled."""
+    docs, targets = read(spark, d, "documents"), read(spark, d, "pack_targets")
+    sizes = stage(token_counts(docs))
+    size, total = stage(pack_all(docs, targets, sizes=sizes)), sizes.agg(F.sum("n_tokens").alias("total"))
+    full = size.groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("fill")).join(targets, "target_id")
+    full = full.groupBy("target_id").agg(F.count_if(F.col("fill") > F.col("capacity_tokens")).alias("overfull"), (F.sum("fill") >= 0.99 * F.sum("capacity_tokens")).alias("filled_99"), F.sum("fill").alias("placed"))
+    placed = size.groupBy("target_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id").join(targets, "target_id")
+    placed = placed.groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("pieces") != F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))).alias("wrongly_divided"), F.count_if(F.col("n") != F.col("n_tokens")).alias("wrong_tokens")
+    )
+    both = placed.join(full, "target_id").crossJoin(F.broadcast(total))  # one row
+    return both.select("target_id", "n_docs", "overfull", "wrongly_divided", "wrong_tokens", (F.col("total") - F.col("placed")).alias("lost_tokens"), "filled_99")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "eval_id")
 
@@ -73,7 +88,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_report, p5_found, p7_found, p7_rankings, p8_containers, p9_found, p9_report, p10_found)
+    f.__name__: f for f in (p1_found, p3_found, p3_report, p5_found, p7_found, p7_rankings, p8_containers, p8_invariants, p9_found, p9_report, p10_found)
 }
 
 _P3 = """
@@ -128,5 +143,8 @@ c as (select item_id, count(*) as n from m group by 1),
 p as (select a.item_id as item_a, b.item_id as item_b, count(*) as n_ab from m a join m b using (entity_id, session_id) where a.item_id < b.item_id group by all having count(*) >= 5)
 select item_a, item_b from p join c x on x.item_id = item_a join c y on y.item_id = item_b, n where n_ab * n.n >= 4 * x.n * y.n""",
     "p7_found": _P7 + "select list_id, item_id from (select list_id, item_id, row_number() over (partition by list_id order by fused_score desc, item_id) as rn from s) where rn = 1",
+    "p8_invariants": """
+select target_id, (select count(distinct doc_id) from documents where text <> '') as n_docs, 0::bigint as overfull, 0::bigint as wrongly_divided, 0::bigint as wrong_tokens, 0::bigint as lost_tokens, true as filled_99
+from pack_targets""",
     "p7_rankings": _P7 + "select list_id, item_id, round(fused_score, 9) as fused_score from s",
 }

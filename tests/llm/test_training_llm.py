@@ -204,20 +204,49 @@ def test_fusion(spark, limit):
 # ---------------------------------------------------------------- packing
 
 
+def _contents(plan):
+    """Container -> sizes of its items, and window -> sizes, from a plan taken item by item."""
+    windows, of = {}, {}
+    for first, n, container, per in plan.windows:
+        for k in range(n):
+            assert first + k not in of
+            of[first + k] = container + k // per
+    ranks = {}
+    for size, start, items, first, per in plan.slots:
+        for k in range(items):
+            assert (size, start + k) not in ranks
+            ranks[(size, start + k)] = True
+            windows.setdefault(first + k // per, []).append(size)
+    boxes = {}
+    for w, sizes in windows.items():
+        boxes.setdefault(of[w], []).extend(sizes)
+    return boxes, windows, Counter(s for s, _ in ranks)
+
+
 def test_plan_is_complete_and_tight():
     rnd = random.Random(4)
-    for cap in (7, 64, 512):
+    for cap in (16, 64, 512):
         hist = Counter(min(cap, 1 + int(rnd.expovariate(8 / cap))) for _ in range(3000))
-        slots, containers = plan_containers(dict(hist), cap, [cap // 4, cap // 2, cap])
-        got, fill = Counter(), Counter()
-        for size, start, items, first, per in slots:
-            got[size] += items
-            for k in range(items):
-                fill[first + k // per] += size
-        assert got == hist
-        assert max(fill.values()) <= cap and sum(fill.values()) == sum(s * n for s, n in hist.items())
-        assert {f + k: v for f, c, v in containers for k in range(c)} == dict(fill)
-        assert len(fill) <= math.ceil(sum(s * n for s, n in hist.items()) / cap) + max(2, len(fill) // 50)
+        plan = plan_containers(dict(hist), cap, [cap // 8, cap // 2, cap])
+        boxes, windows, got = _contents(plan)
+        assert got == hist and max(map(sum, boxes.values())) <= cap
+        for sizes in windows.values():  # a window holds items of one tier and is no longer than that tier
+            tier = min(t for t in (cap // 8, cap // 2, cap) if t >= max(sizes))
+            assert sum(sizes) <= tier and all(min(t for t in (cap // 8, cap // 2, cap) if t >= s) == tier for s in sizes)
+        assert {f + k: v for f, c, v, _ in plan.containers for k in range(c)} == {b: sum(v) for b, v in boxes.items()}
+        total = sum(s * n for s, n in hist.items())
+        assert len(boxes) <= math.ceil(total / cap) + max(2, len(boxes) // 50)
+
+
+def test_tiers_change_the_plan():
+    rnd = random.Random(5)
+    hist = Counter(min(64, 1 + int(rnd.expovariate(0.1))) for _ in range(2000))
+    plans = [plan_containers(dict(hist), 64, t) for t in ([64], [24, 64], [8, 24, 64])]
+    assert len({tuple(sorted(tuple(sorted(b)) for b in _contents(p)[0].values())) for p in plans}) == 3
+    assert [{t for *_, t in p.containers} <= s for p, s in zip(plans, ({64}, {24, 64}, {8, 24, 64}), strict=True)] == [True] * 3
+    # gaps of long windows are filled from the shorter tiers' pools
+    long = _contents(plan_containers({40: 10, 20: 10, 4: 10}, 64, [8, 24, 64]))[0]
+    assert sorted(map(sorted, long.values())) == [[4, 20, 40]] * 10
 
 
 def test_pack(spark):
@@ -244,7 +273,7 @@ def test_pack(spark):
 
 
 def test_step_groups_balance():
-    firsts, ranks, groups = step_groups([(0, 10, 5), (10, 6, 50)], 4)
+    firsts, ranks, groups = step_groups([(0, 10, 5, 64), (10, 6, 50, 64)], 4)
     assert groups == 4 and list(firsts) == [0, 10] and list(ranks) == [6, 0]
 
 
