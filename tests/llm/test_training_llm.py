@@ -126,24 +126,42 @@ def _pairs(rows):
 
 
 def _table(t):
-    return {(r["item_a"], r["item_b"]): r["n_ab"] for r in t.pairs.collect()}, {r["item"]: r["n"] for r in t.items.collect()}, t.baskets.first()[0]
+    return {(r["item_a"], r["item_b"]): r["n_ab"] for r in t.pairs().collect()}, {r["item"]: r["n"] for r in t.items.collect()}, t.baskets.first()[0]
 
 
-def test_pair_table(spark, tmp_path):
-    rnd = random.Random(1)
+def test_pair_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(co, "BUCKET_PAIRS", 4)
+    rnd, path = random.Random(1), str(tmp_path / "t")
     old = [(rnd.choice([*range(20), None]), rnd.choice([*range(15), None])) for _ in range(150)]
-    new = [r for r in old if rnd.random() < 0.8] + [(rnd.randrange(25), rnd.randrange(18)) for _ in range(40)]
+    new = [r for r in old if r[0] in (1, 2, None) or rnd.random() < 0.9] + [(21, 3), (21, 4), (22, 3), (1, 14)]
     a, b = (spark.createDataFrame(x, "b long, item long") for x in (old, new))
-    t = co.PairTable.build(co.log_changes(a, ["b"], "item"))
-    assert _table(t) == tuple(dict(x) if isinstance(x, Counter) else x for x in _pairs(old))
-    t.save(str(tmp_path / "t"))
-    packed = co.changes(a, b, ["b"], "item")
-    after = co.PairTable.load(spark, str(tmp_path / "t")).apply(packed)
-    want = _pairs(new)
-    assert _table(after) == (dict(want[0]), dict(want[1]), want[2])
-    hit = {(r["item_a"], r["item_b"]) for r in co.affected_associations(after, packed).collect()}
-    changed = {k for k in want[0] if want[0][k] != _pairs(old)[0].get(k)}
-    assert changed <= hit
+    table = lambda x: tuple(dict(y) if isinstance(y, Counter) else y for y in _pairs(x))
+    t = co.PairTable.create(spark, path, co.log_changes(a, ["b"], "item"))
+    assert _table(t) == table(old) and t.buckets >= 16
+    entries = co.changes(a, b, ["b"], "item")
+    # an update that fails midway leaves the stored table as it was, and can be made again
+    with monkeypatch.context() as m:
+        m.setattr(co, "basket_count", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            co.PairTable.load(spark, path).update(entries)
+        m.setattr(co, "basket_count", lambda e: e.agg(F.raise_error(F.lit("lost")).cast("long").alias("n")))
+        with pytest.raises(Exception, match="lost"):
+            co.PairTable.load(spark, path).update(entries)
+    assert co.PairTable.load(spark, path).version == 1 and _table(co.PairTable.load(spark, path)) == table(old)
+    before = {(r["item_a"], r["item_b"]): r for r in co.PairTable.load(spark, path).associations().collect()}
+    co.PairTable.load(spark, path).update(entries)
+    after = co.PairTable.load(spark, path)
+    assert after.version == 2 and _table(after) == table(new) and _table(co.PairTable.load(spark, path, 1)) == table(old)
+    touched = co.item_counts(entries).select("item")
+    hit = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"]) for r in co.affected_associations(after, touched).collect()}
+    n, per, _ = _pairs(new)
+    changed = {k for k in n if k not in before or (n[k], per[k[0]], per[k[1]]) != tuple(before[k][c] for c in ("n_ab", "n_a", "n_b"))}
+    assert changed <= hit.keys() and hit == {k: (n[k], per[k[0]], per[k[1]]) for k in hit}
+    # a small change writes few buckets
+    small = co.PairTable.load(spark, path).update(co.changes(b, spark.createDataFrame([*new, (50, 3), (50, 4)], "b long, item long"), ["b"], "item"))
+    assert sum(v == 3 for v in small.where.values()) == 1 and _table(small) == table([*new, (50, 3), (50, 4)])
+    with pytest.raises(ValueError):
+        co.PairTable.load(spark, str(tmp_path))
 
 
 def test_pair_table_large_baskets(spark, monkeypatch):
