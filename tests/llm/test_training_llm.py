@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import cooccurrence as co
-from spanloom.llm import overlap
+from spanloom.llm import leakage, overlap
 from spanloom.llm.fusion import fuse_rankings
 from spanloom.llm.leakage import leaked_items, plain_words
 from spanloom.llm.overlap import cross_split_overlaps, overlap_report
@@ -330,7 +330,7 @@ def test_leaks(spark):
     assert leaked_items(d, e.where("false")).count() == 0 and leaked_items(d.where("false"), e).count() == 0
 
 
-def test_leaks_random_against_brute_force(spark):
+def test_leaks_random_against_brute_force(spark, monkeypatch):
     rnd = random.Random(8)
     words = [f"v{i}" for i in range(60)]
     items = [(k, "en", " ".join(rnd.choices(words, k=rnd.randrange(8, 40)))) for k in range(70)]
@@ -348,8 +348,26 @@ def test_leaks_random_against_brute_force(spark):
         for a in range(len(w) - 7):
             runs.setdefault(tuple(w[a : a + 8]), set()).add(k)
     want = {(k, i) for k, t in docs for w in [t.split()] for a in range(len(w) - 7) for i in runs.get(tuple(w[a : a + 8]), ())}
-    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "eval_id long, lang string, text string"))
-    assert {(r["doc_id"], r["eval_id"]) for r in got.collect()} == want and len(want) > 30
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "eval_id long, lang string, text string")
+    assert {(r["doc_id"], r["eval_id"]) for r in leaked_items(d, e).collect()} == want and len(want) > 30
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 2500)  # several index shards give the same
+    assert {(r["doc_id"], r["eval_id"]) for r in leaked_items(d, e).collect()} == want
+
+
+def test_index_skips_postings_and_blocks():
+    """Memory is linear in the postings, common terms are not opened, blocks below their floor are not scored."""
+    rnd = random.Random(2)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(20_000)]
+    items = [(k, [w for pair in zip(rnd.choices(common, k=12), rnd.choices(rare, k=12)) for w in pair]) for k in range(1500)]
+    index = leakage.build_index(items, 8)
+    postings = sum(len(set(t)) for _, t in items)
+    assert len(index.parts) == len(index.slots) == postings >= len(index.keys) and index.blocks == -(-1500 // leakage.BLOCK)
+    texts = [rnd.choices(common, k=40) + items[k][1][4:14] + rnd.choices(common + rare, k=30) for k in range(0, 1500, 10)]
+    seen = Counter()
+    ids = [leakage._term_ids(t, index.terms) for t in texts]
+    found = {(k, i) for k, i, _ in leakage.search(index, ids, leakage.PASSAGE_WORDS, seen)}
+    assert found == {(k, 10 * k) for k in range(150)}
+    assert seen["opened"] < 0.2 * seen["postings"] and seen["scored"] < 0.05 * len(leakage._passages(ids, 8, 24)[0]) * index.blocks
 
 
 def test_plain_words():
