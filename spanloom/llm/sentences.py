@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -146,10 +147,29 @@ _SPEECH = re.compile(
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 _THAI, _DEVA, _ARAB = "฀-๿", "ऀ-ॿ", "؀-ۿ"
-_END = r"(?:\.(?:[ ]\.)+|[.!?…‽。！？｡।॥؟۔]+)"
+# Signs of the scripts that end a sentence wherever they stand (Devanagari, Arabic, Urdu,
+# Armenian, Ethiopic, Burmese, Khmer, Mongolian, Tibetan, Syriac, Canadian, Ol Chiki, Lisu, Vai, Meetei).
+_FULL_STOPS = "।॥؟۔։።፧፨။។៕᠃᠉༎܀܁܂᙮᱾᱿꓿꘎꘏꫰꯫"
+_END = rf"(?:\.(?:[ ]\.)+|[.!?…‽⸮‼⁇⁈⁉。！？｡．{_FULL_STOPS}]+)"
 _CLOSE = r"[\"'”’“»›)\]」』》〉）】]*"
 _QUOTED = r"[\"'”’“»›」』》〉]"
 _CANDIDATE = re.compile(rf"{_END}(?:[\"'”’»›)\]」』》〉）】]|(?<=[.!?…])“(?=[\s.,;)\x1e]|$))*")
+
+
+def _of_category(*kinds: str) -> str:
+    """The inside of a character class: all characters of the Unicode categories, as ranges."""
+    out, start, last = [], None, None
+    for k in (*(k for k in range(0x20000) if unicodedata.category(chr(k)) in kinds), -9):
+        if last is not None and k != last + 1:
+            out.append(f"\\U{start:08x}" + (f"-\\U{last:08x}" if last > start else ""))
+            start = k
+        start, last = (k if start is None else start), k
+    return "".join(out)
+
+
+_UPPER, _LOWER = _of_category("Lu", "Lt"), _of_category("Ll")
+#: Letters of scripts without case; Georgian has capitals that running text does not use.
+_CASELESS = _of_category("Lo").replace("\\U000000aa", "").replace("\\U000000ba", "") + "\u10d0-\u10ff"
 _GAP = r"[ \t\n\x0b 　 - ]"
 _OPENS = r"[\"'“„«‘(\[{*_`~¿¡]*"
 
@@ -171,6 +191,33 @@ ABBREVIATIONS = {
         "open": "etc EE.UU EE.VV",
         "number": "pág núm n",
     },
+    "fr": {
+        "never": "M MM Mme Mmes Mlle Mlles Me Dr Pr St Ste Mgr c.-à-d env av apr bd cf p.ex",
+        "open": "etc J.-C Cie S.A.R.L",
+        "number": "p pp n no art chap vol fig tél",
+    },
+    "it": {
+        "never": "sig dott prof ing avv Sig Sigg Dott Dott.ssa Prof Prof.ssa Ing Avv On Rag Geom Egr Gent Spett p.es ad.es cfr ca S",
+        "open": "ecc a.C d.C S.p.A S.r.l",
+        "number": "n nn p pp pag pagg art artt cap vol fig tel",
+    },
+    "pt": {
+        "never": "Sr Sra Srta Srs Dr Dra Prof Profa Eng Exmo Exma Av R aprox p.ex",
+        "open": "etc a.C d.C Ltda Cia S.A",
+        "number": "p pp pág págs n nº art cap vol fig tel",
+    },
+    "pl": {
+        "never": "prof dr hab mgr inż ks św ul al pl os np m.in tzn tzw tj por zob ok ppłk płk gen im",
+        "open": "itd itp r w zł godz tys mln mld p.n.e n.e",
+        "number": "nr s str art ust pkt t rozdz rys tab godz",
+    },
+    "cyrl": {
+        "never": "им ул пл просп пер наб проф акад доц т.е т.к т.н напр см ср гр гос св о-в тел",
+        "open": "т.д т.п др пр г гг в вв руб коп тыс млн млрд н.э р км м ч мин сек",
+        "number": "с стр рис табл гл п пп кв корп д ст",
+    },
+    "el": {"never": "κ κα κ.κ δρ καθ π.χ δηλ λ.χ αγ", "open": "κ.λπ κ.ά κτλ κλπ π.Χ μ.Χ", "number": "σελ αρ τηλ σ"},
+    "he": {"never": "ד\"ר פרופ' גב' עמ'", "open": "וכו' וגו'", "number": "עמ מס ס"},
     "hi": {"never": "कि.मी कि.ग्रा डॉ श्री श्रीमती प्रो पं कु नं रु सं", "open": "", "number": ""},
     "ar": {"never": "", "open": "", "number": ""},
 }
@@ -194,7 +241,7 @@ def _abbreviations(lang: str, lower: bool) -> list[tuple[bool, str, str]]:
     if a["never"]:
         rules.append((False, rf"(?<![\w.]){_any(a['never'])}\.$", rf"{_GAP}+\S"))
     if a["open"]:
-        goes_on = _any(CARRY_ON["open"]) + r"\b" if lower else r"[a-zß-öø-ÿ]"
+        goes_on = _any(CARRY_ON["open"]) + r"\b" if lower else rf"[{_LOWER}]"
         rules.append((False, rf"(?<![\w.]){_any(a['open'])}\.$", rf"{_GAP}+{goes_on}"))
     return rules
 
@@ -211,8 +258,12 @@ def _table(lang: str, lower: bool) -> list[tuple[bool, str, str]]:
             (False, r"(?<![\w.,])\d{1,2}\.[ \n]\d{1,2}\.$", rf"{_GAP}+[a-zß-ÿ\d]"),
             *_abbreviations(lang, lower),
         ]
-    if lang == "hi":
+    if lang in ("hi", "fr", "it", "pt", "pl", "cyrl", "he"):
         return _abbreviations(lang, lower)
+    if lang == "el":  # the Greek question mark looks like a semicolon
+        return [*_abbreviations(lang, lower), (True, rf"[;\u037e]{_CLOSE}$", rf"{_GAP}+{_OPENS}(?:[{_UPPER}]|\d)")]
+    if lang == "ko":  # what was said, taken up by a particle
+        return [(False, rf"[.!?…]{_QUOTED}$", rf"{_GAP}*(?:이?라고|이?라며|이?라는|하고|하며|고\b|며\b)")]
     if lang == "ar":
         return [(False, rf"(?<!\w)[{_ARAB}]\.$", rf"{_GAP}+\S")]
     if lang == "cjk":
@@ -232,8 +283,8 @@ def _table(lang: str, lower: bool) -> list[tuple[bool, str, str]]:
         ]
     # common
     letter = r"[^\W\d_]"
-    upper = r"[A-ZÀ-ÖØ-Þ]"
-    caseless = rf"[{_CJK}{_THAI}{_DEVA}{_ARAB}]"
+    upper = rf"[{_UPPER}]"
+    caseless = rf"[{_CJK}{_THAI}{_DEVA}{_ARAB}{_CASELESS}]"
     dots = r"(?:\.[ ]?\.(?:[ ]?\.)*|…+)"
     rules: list[tuple[bool, str, str]] = [
         (False, r"[\s\S]$", rf"{_GAP}*[,;:，、；]"),
@@ -241,7 +292,7 @@ def _table(lang: str, lower: bool) -> list[tuple[bool, str, str]]:
         (False, dots + r"$", rf"{_GAP}+{_any(CARRY_ON['dots'])}\b"),
         (False, rf"{_END}\)?{_QUOTED}+\)?$", rf"{_GAP}+{_any(CARRY_ON['quote'])}(?!\w)"),
         (True, rf"{letter}{{2}}[.!?…]+{_CLOSE}$", rf"{_OPENS}{upper}{letter}|[¿¡(«„“]"),
-        (True, rf"[।॥؟۔!]+{_CLOSE}$", rf"{_GAP}*{letter}"),
+        (True, rf"[{_FULL_STOPS}!]+{_CLOSE}$", rf"{_GAP}*{letter}"),
         (True, rf"{_END}{_CLOSE}$", rf"{_GAP}+{_OPENS}(?:{upper}|\d|{caseless})"),
         (True, rf"{_END}{_CLOSE}$", rf"{_GAP}+(?:[(¿¡„«]|[^\w\s\x1e,;:.!?…)\]}}>&%=+*/|~^-])"),
     ]
@@ -250,7 +301,7 @@ def _table(lang: str, lower: bool) -> list[tuple[bool, str, str]]:
         names = r"(?:cfg|txt|example|com|org|net|html?|php|js|py|md|exe|zip|ini|log|json|xml|csv|pdf|io|de|es|co|uk|me)"
         rules += [
             (True, rf"(?<![\w./@:-]){letter}{{2,}}[.!?…]+{_CLOSE}$", rf"(?!{names}\b){letter}{{2,}}(?![\w./@:])"),
-            (True, rf"{_END}{_CLOSE}$", rf"{_GAP}+{_OPENS}[a-zß-öø-ÿ]"),
+            (True, rf"{_END}{_CLOSE}$", rf"{_GAP}+{_OPENS}[{_LOWER}]"),
         ]
     return rules
 
@@ -266,10 +317,21 @@ _COMMON_WORDS = {
     "de": {"der", "die", "das", "und", "nicht", "mit", "ist", "wir", "sie", "ein", "eine", "oder", "immer", "jetzt", "nach"},
     "es": {"el", "la", "los", "y", "de", "que", "con", "sin", "una", "un", "por", "pero", "siempre", "muy", "ahora"},
 }
-_HAS = {k: re.compile(f"[{v}]") for k, v in {"cjk": _CJK, "thai": _THAI, "hi": _DEVA, "ar": _ARAB}.items()}
+# Words that speak for further languages; their tables are asked only where they fit best.
+_TELLING_WORDS = {
+    "fr": {"le", "les", "des", "et", "est", "une", "dans", "pour", "qui", "sur", "pas", "avec", "du", "nous", "vous", "à", "au", "elle", "ce", "cette"},
+    "it": {"il", "di", "che", "è", "per", "non", "sono", "della", "gli", "anche", "più", "nel", "alla", "del", "questo"},
+    "pt": {"os", "não", "uma", "com", "em", "do", "da", "é", "ele", "ela", "muito", "são", "você", "mas", "isso"},
+    "pl": {"nie", "się", "jest", "że", "przez", "jak", "ale", "oraz", "są", "był", "była", "tylko", "już", "także", "mały"},
+}
+_SCRIPTS = {"cjk": _CJK, "thai": _THAI, "hi": _DEVA, "ar": _ARAB, "cyrl": "\u0400-\u052f", "el": "\u0370-\u03ff\u1f00-\u1fff", "he": "\u0590-\u05ff", "ko": "\uac00-\ud7a3"}
+_HAS = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
+#: Characters before a run of end marks that the rules look at: the longest abbreviation and some room.
+_REACH = 32 + max(len(w) for a in ABBREVIATIONS.values() for k in a.values() for w in k.split()) * 2
+_GREEK_CANDIDATE = re.compile(rf"[;\u037e]{_CLOSE}(?=\s)")
 _WORD = re.compile(r"[^\W\d_]+")
-_CASED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
-_START = re.compile(rf"(?<=[^\W\d_]{{2}})[.!?]+{_CLOSE}{_GAP}+{_OPENS}([A-Za-zÀ-ÖØ-öø-ÿ])")
+_CASED = re.compile(rf"[{_UPPER}{_LOWER}]")
+_START = re.compile(rf"(?<=[^\W\d_]{{2}})[.!?]+{_CLOSE}{_GAP}+{_OPENS}([{_UPPER}{_LOWER}])")
 _NOT_START = re.compile(rf"(?<![\w.])(?:{'|'.join(_any(a[k]) for a in ABBREVIATIONS.values() for k in a if a[k])})\.[\"'”’“»›)\]]*$")
 
 
@@ -278,6 +340,10 @@ def _languages(block: str) -> tuple[str, ...]:
     scripts = [k for k, p in _HAS.items() if p.search(block)] if not block.isascii() else []
     words = set(_WORD.findall(block.lower())) if _CASED.search(block) else set()
     latin = sorted(_COMMON_WORDS, key=lambda k: -len(words & _COMMON_WORDS[k])) if words else []
+    if words:
+        hits = {k: len(words & w) for k, w in _TELLING_WORDS.items()}
+        if max(hits.values()) > len(words & _COMMON_WORDS[latin[0]]):
+            latin = [*(k for k in hits if hits[k] == max(hits.values())), *latin]
     return (*latin, *scripts, "common")
 
 
@@ -287,7 +353,8 @@ def _without_capitals(block: str) -> bool:
         return False
     low = high = 0
     for m in _START.finditer(block):
-        if _NOT_START.search(block[max(0, m.start() - 12) : m.end(0) - 1].rstrip(" \t\n\x0b\xa0(\"'“„«")):
+        marks = m.group()[:-1].rstrip(" \t\n\x0b\xa0(\"'“„«")
+        if _NOT_START.search(block, max(0, m.start() - _REACH), m.start() + len(marks)):
             continue
         if any(q in m.group() for q in "\"'”“»"):
             continue
@@ -310,15 +377,18 @@ def _split_block(block: str) -> list[int]:
         i = bisect_right(starts, p - 1) - 1
         return i >= 0 and speech[i][0] < p < speech[i][1]
 
-    spots = [m.end() for m in _CANDIDATE.finditer(block)]
+    spots = {m.end(): m.start() for m in _CANDIDATE.finditer(block)}
+    if "el" in key:
+        spots |= {m.end(): m.start() for m in _GREEK_CANDIDATE.finditer(block)}
     if "thai" in key:
-        spots = sorted({*spots, *(m.start() for m in re.finditer(rf"(?<=\S){_GAP}+(?=\S)", block) if re.match(f"[{_THAI}]", block[m.start() - 1]) or re.match(f"[{_THAI}]", block[m.end()]))})
-    for p in spots:
+        gaps = (m.start() for m in re.finditer(rf"(?<=\S){_GAP}+(?=\S)", block) if re.match(f"[{_THAI}]", block[m.start() - 1]) or re.match(f"[{_THAI}]", block[m.end()]))
+        spots |= {p: p for p in gaps if p not in spots}
+    for p in sorted(spots):
         if p >= len(block) or in_speech(p):
             continue
-        before = block[max(0, p - 48) : p]
+        reach = max(0, spots[p] - _REACH)  # marks, however many, and what may stand before them
         for breaks, x, y in rules:
-            if y.match(block, p) and x.search(before):
+            if y.match(block, p) and x.search(block, reach, p):
                 if breaks:
                     ends.append(p)
                 break

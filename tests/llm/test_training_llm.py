@@ -412,6 +412,46 @@ def test_sentences():
         assert units(text) == want, text
 
 
+# text: number of sentences
+OTHER_LANGUAGES = {
+    'Это первый дом. Он стоит на ул. Мира и т. д. уже давно. А. С. Пушкин жил здесь!': 3,
+    'Родился в 1990 г. в Москве. Стоит 5 руб. за кг. Всё.': 3,
+    'Це добре. Він прийшов? Так.': 3,
+    '오늘은 날씨가 좋다. 내일은 비가 온다! 정말?': 3,
+    '그는 "가자." 라고 말했다. 우리는 갔다.': 2,
+    'Ο ήλιος λάμπει. Πού πας; Έλα εδώ, κ. Νίκο!': 3,
+    'זה בית. הוא גדול! באמת?': 3,
+    'Սա տուն է։ Նա մեծ է։ Լավ։': 3,
+    'ဒါက အိမ်ပါ။ သူက ကြီးတယ်။ ကောင်းတယ်။': 3,
+    'នេះជាផ្ទះ។ វាធំណាស់។ ល្អ។': 3,
+    'ይህ ቤት ነው። ትልቅ ነው። ጥሩ።': 3,
+    'Łódź jest duża. Świat jest mały. Źle.': 3,
+    'Mieszka na ul. Długiej nr 5 itd. i pracuje. Prof. Żak jest tu.': 2,
+    'She said no. Žižek agreed.': 2,
+    'Le chat dort. M. Durand est arrivé avec Mme Petit etc. dans la rue. Ça va ? Oui !': 4,
+    'Il est né en 50 av. J.-C. à Rome. Élise est là.': 2,
+    'Il dott. Rossi non è qui. È andato via! Perché?': 3,
+    'O Sr. Silva não está. Água fria. Às 5 h.': 3,
+    'ეს სახლია. ის დიდია. კარგია.': 3,
+    'یہ گھر ہے۔ وہ بڑا ہے۔': 2,
+    'Đây là nhà. Ông ấy đến. Được!': 3,
+    'Bu ev. İyi mi? Şimdi git.': 3,
+    'To je dům. Čas letí. Žádný.': 3,
+    'இது வீடு. அது பெரியது. நல்லது.': 3,
+    'এটা বাড়ি। ওটা বড়। ভালো।': 3,
+    '好。走吧！行？': 3,
+}
+
+
+@pytest.mark.parametrize("text", OTHER_LANGUAGES)
+def test_sentences_of_many_scripts(text):
+    assert len(units(text)) == OTHER_LANGUAGES[text], units(text)
+
+
+def test_long_runs_of_marks():
+    assert units("Wow" + "!" * 200 + " Next one. Wait" + "." * 300 + " and so on. Done.") == ["Wow" + "!" * 200, "Next one.", "Wait" + "." * 300 + " and so on.", "Done."]
+
+
 def test_sentence_positions_and_markup():
     t = "[quote=x]Hi \U0001f642 there.[/quote]\n\nThis.&nbsp; <b>Bold</b> end.</p>"
     ends = unit_ends(t)
