@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.runtime import stage
+
 
 @dataclass
 class LoadPlan:
@@ -26,6 +28,19 @@ class LoadPlan:
     bins: list[int] = field(default_factory=list)
     loads: list[int] = field(default_factory=list)
 
+    def slots(self) -> list[int]:
+        """For each task a number that Spark's hash partitioning into ``tasks`` parts sends there.
+
+        Rows partitioned by such a number lie where the plan wants them, and Spark knows the
+        partitioning: aggregations and joins that have the number among their keys move nothing.
+        """
+        found: dict[int, int] = {}
+        n = 0
+        while len(found) < self.tasks:
+            found.setdefault(_hash_of_int(n) % self.tasks, n)
+            n += 1
+        return [found[t] for t in range(self.tasks)]
+
     def bin_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(len(self.bins))).cast("int")
 
@@ -36,6 +51,18 @@ class LoadPlan:
         return spark.createDataFrame(rows, f"_hk {kind}, _tasks array<int>")
 
 
+def _hash_of_int(value: int, seed: int = 42) -> int:
+    """Murmur3 (32 bits, x86) of one INT, signed: what ``hash()`` and hash partitioning use."""
+    mask = 0xFFFFFFFF
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    h = seed ^ turn(value * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h = (turn(h, 13) * 5 + 0xE6546B64) & mask ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     """Count rows per key, split keys heavier than a quarter of a task's share, bin-pack the rest.
 
@@ -46,8 +73,8 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     no key and are left to their hash bin.
     """
     tasks = tasks or max(2, df.sparkSession.sparkContext.defaultParallelism)
-    counts = df.groupBy(F.col(key).alias("_hk")).count()
-    total = df.select(key).count()
+    counts = stage(df.groupBy(F.col(key).alias("_hk")).count())  # the only read of ``df``
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     plan = LoadPlan(key, tasks, total, bins=[0] * (8 * tasks), loads=[0] * tasks)
     if total == 0:
         return plan
@@ -77,7 +104,7 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
 
 
 def assign_tasks(df: DataFrame, plan: LoadPlan, spread_by: Column | None = None) -> DataFrame:
-    """``df`` with ``_shard`` (which shard of its key) and ``_task`` (where the plan puts it).
+    """``df`` with ``_shard`` (which shard of its key), ``_task`` (where the plan puts it) and ``_slot`` (the task's number to partition by).
 
     ``spread_by`` decides the shard of a heavy key's row; rows equal in it stay together.
     """
@@ -88,32 +115,46 @@ def assign_tasks(df: DataFrame, plan: LoadPlan, spread_by: Column | None = None)
     shard = F.when(F.col("_tasks").isNotNull(), F.pmod(by, F.size("_tasks")).cast("int")).otherwise(F.lit(0))
     rows = rows.withColumn("_shard", shard)
     task = F.when(F.col("_tasks").isNotNull(), F.element_at("_tasks", F.col("_shard") + 1)).otherwise(F.element_at(bins, plan.bin_of(F.col(plan.key)) + 1))
-    return rows.withColumn("_task", task).drop("_hk", "_tasks")
+    return _slotted(rows.withColumn("_task", task).drop("_hk", "_tasks"), plan)
+
+
+def _slotted(rows: DataFrame, plan: LoadPlan) -> DataFrame:
+    return rows.withColumn("_slot", F.element_at(F.array(*[F.lit(s) for s in plan.slots()]), F.col("_task") + 1))
 
 
 def per_key(df: DataFrame, plan: LoadPlan, partial: dict[str, Column], final: dict[str, Column], spread_by: Column | None = None) -> DataFrame:
     """Aggregate per key on the planned tasks: ``partial`` per shard, then ``final`` over the shards.
 
     With ``spread_by`` all rows of a key that agree in it meet in one shard, so distinct counts of
-    it can be added up. One row per key and shard is all that moves after the first step.
+    it can be added up. One row per key and shard is all that moves after the first step. Rows that
+    ``fragment_replicate_join`` left in place (``keep_place``) are not moved at all.
     """
-    placed = assign_tasks(df, plan, spread_by).repartitionById(plan.tasks, F.col("_task"))
-    once = placed.groupBy(plan.key, "_shard").agg(*[c.alias(n) for n, c in partial.items()])
+    placed = df if {"_slot", "_shard"} <= set(df.columns) else assign_tasks(df, plan, spread_by).repartition(plan.tasks, "_slot")
+    once = placed.groupBy("_slot", plan.key, "_shard").agg(*[c.alias(n) for n, c in partial.items()])
     return once.groupBy(plan.key).agg(*[c.alias(n) for n, c in final.items()])
 
 
-def fragment_replicate_join(big: DataFrame, small: DataFrame, plan: LoadPlan, how: str = "inner", spread_by: Column | None = None) -> DataFrame:
-    """``big`` joined to ``small`` on the plan's key; heavy keys of ``small`` go to their shards only.
+def fragment_replicate_join(big: DataFrame, small: DataFrame, plan: LoadPlan, how: str = "inner", spread_by: Column | None = None, keep_place: bool = False) -> DataFrame:
+    """``big`` joined to ``small`` on the plan's key on the planned tasks.
+
+    A heavy key's rows of ``small`` are copied to the tasks that hold one of its shards, and to no
+    other; all other rows go to their bin's task. ``small`` has the key under the same name; its
+    other columns must not clash with ``big``'s. ``how`` is inner, left, left_semi or left_anti.
+    Rows of a null key match nothing. With ``keep_place`` the result has ``_slot`` and ``_shard``
+    and lies where the plan put it, for ``per_key``.
 
-    ``small`` has the key under the same name; its other columns must not clash with ``big``'s.
-    ``how`` is inner, left, left_semi or left_anti. Rows of a null key match nothing.
+    The session is told that joins may rely on a partitioning by part of their keys; otherwise
+    Spark would partition both sides by slot, key and shard together and undo the placement.
     """
-    placed = assign_tasks(big, plan, spread_by)
+    big.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    placed = assign_tasks(big, plan, spread_by).drop("_task").repartition(plan.tasks, "_slot")
     heavy = F.broadcast(plan.frame(big))
     copies = small.join(heavy, F.col(plan.key) == F.col("_hk"), "left")
-    shards = F.when(F.col("_tasks").isNotNull(), F.sequence(F.lit(0), F.size("_tasks") - 1)).otherwise(F.array(F.lit(0)))
-    copies = copies.withColumn("_shard", F.explode(shards)).drop("_hk", "_tasks")
-    return placed.join(copies, [plan.key, "_shard"], how).drop("_shard", "_task")
+    bin_task = F.element_at(F.array(*[F.lit(t) for t in plan.bins]), plan.bin_of(F.col(plan.key)) + 1)
+    copies = copies.select("*", F.posexplode(F.coalesce("_tasks", F.array(bin_task))).alias("_shard", "_task")).drop("_hk", "_tasks")
+    copies = _slotted(copies, plan).drop("_task").repartition(plan.tasks, "_slot")
+    out = placed.hint("merge").join(copies, ["_slot", plan.key, "_shard"], how)
+    return out if keep_place else out.drop("_slot", "_shard")
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.02, tasks: int | None = None) -> DataFrame:

@@ -46,12 +46,11 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     log = read(spark, d, "interactions").select("item_id", "entity_id")
     meta = read(spark, d, "items").groupBy("item_id").agg(F.min_by("title", "meta_id").alias("title"))
     plan = plan_loads(log, "item_id")
-    joined = fragment_replicate_join(log, meta, plan, "left", F.col("entity_id"))
+    joined = fragment_replicate_join(log, meta, plan, "left", F.col("entity_id"), keep_place=True)
     return per_key(
         joined, plan,
         {"n": F.count(F.lit(1)), "m": F.countDistinct("entity_id"), "t": F.max("title")},
         {"n_rows": F.sum("n"), "n_entities": F.sum("m"), "title": F.max("t")},
-        spread_by=F.col("entity_id"),
     )
 
 

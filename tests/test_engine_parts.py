@@ -308,10 +308,18 @@ def test_heavy_keys_and_plan(spark):
     df = df.drop("_hk")
     placed = assign_tasks(df, plan).groupBy("_task").count().collect()
     assert max(r["count"] for r in placed) <= 2 * 1000 / 6
+    assert [r[0] for r in spark.createDataFrame([(s,) for s in plan.slots()], "s int").select(F.pmod(F.hash("s"), F.lit(6))).collect()] == list(range(6))
     got = per_key(df, plan, {"n": F.count(F.lit(1)), "m": F.countDistinct("v")}, {"n": F.sum("n"), "m": F.sum("m")}, F.col("v"))
+    # rows move once, to the planned tasks; after that one row per key and shard does
+    lines = got._jdf.queryExecution().executedPlan().toString()
+    assert lines.count("Exchange hashpartitioning(_slot") == 1 and lines.count("Exchange hashpartitioning") == 2
+    where = assign_tasks(df, plan, F.col("v")).repartition(6, "_slot").groupBy(F.spark_partition_id().alias("p"), "_task").count().collect()
+    assert all(r["p"] == r["_task"] for r in where)
     want = {r["k"]: (r["n"], r["m"]) for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("m")).collect()}
     assert {r["k"]: (r["n"], r["m"]) for r in got.collect()} == want
     small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (999, "d")], "k long, s string")
+    plan_text = fragment_replicate_join(df, small, plan, "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("Exchange hashpartitioning(_slot#") == plan_text.count("Exchange hashpartitioning") == 2 and ", _shard" not in "".join(x for x in plan_text.splitlines() if "Exchange hash" in x)
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = sorted(map(str, fragment_replicate_join(df, small, plan, how).collect()))
         assert a == sorted(map(str, df.join(small, "k", how).select(*(["k", "v"] + (["s"] if how in ("inner", "left") else []))).collect())), how
