@@ -55,10 +55,15 @@ def base_scores(hist: DataFrame, edges: DataFrame, name: str = "base") -> DataFr
     return hist.join(edges, hist["item_id"] == edges["i"]).groupBy("entity_id", F.col("j").alias("item_id")).agg(F.sum(F.col("cnt") * F.col("w")).alias(name))
 
 
+def recent_rows(log: DataFrame, last_k: int = 5, decay: float = 0.7) -> DataFrame:
+    """``(entity_id, i, d)``: the last ``last_k`` rows of each history, weighted by ``decay`` to the power of their age."""
+    recent = history(log).withColumn("age", F.col("n") - F.col("pos")).where(F.col("age") < last_k)
+    return recent.select("entity_id", F.col("item_id").alias("i"), F.pow(F.lit(decay), F.col("age").cast("double")).alias("d"))
+
+
 def transition_votes(log: DataFrame, edges: DataFrame, last_k: int = 5, decay: float = 0.7) -> DataFrame:
     """``(entity_id, item_id, trans)``: transitions out of the last ``last_k`` rows, decayed by age."""
-    recent = history(log).withColumn("age", F.col("n") - F.col("pos")).where(F.col("age") < last_k)
-    recent = recent.select("entity_id", F.col("item_id").alias("i"), F.pow(F.lit(decay), F.col("age").cast("double")).alias("d"))
+    recent = recent_rows(log, last_k, decay)
     return recent.join(edges, "i").groupBy("entity_id", F.col("j").alias("item_id")).agg(F.sum(F.col("d") * F.col("w")).alias("trans"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.operators.contract import HISTORY_ORDER
 
 DAY = 86_400.0
+#: Entries of a key up to which they are packed into one row and paired in place.
+BLOCK = 2048
 
 
 def mirrored(half: DataFrame, value: str = "w") -> DataFrame:
@@ -15,6 +17,33 @@ def mirrored(half: DataFrame, value: str = "w") -> DataFrame:
     return half.select("i", "j", value).unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), value))
 
 
+def key_pairs(rows: DataFrame, key: str = "k") -> DataFrame:
+    """``(x, y)``: structs of every two rows of a key with x.item_id < y.item_id; ``rows`` has the key, item_id and more.
+
+    The rows of a key are counted where they lie after one shuffle by key. Keys of up to ``BLOCK``
+    rows are packed to one row each there and paired in place. Larger ones are never brought to one
+    task as pairs: their rows are dealt to blocks of about ``BLOCK`` and paired block against block.
+    """
+    more = [c for c in rows.columns if c not in (key, "item_id")]
+    e = F.struct("item_id", *more)
+    sized = rows.select(key, e.alias("e"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy(key)) / BLOCK).cast("int").alias("blocks"))
+    packed = sized.where("blocks = 1").groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("l"))  # at most BLOCK rows
+    left = packed.select("l", F.posexplode("l").alias("p", "x"))
+    small = left.select("x", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("y"))
+    large = sized.where("blocks > 1").withColumn("b", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    reach = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # a row of block b meets block c as the first of cell (b, c) or the second of cell (c, b)
+    first = large.select(key, F.col("b").alias("bx"), reach.alias("by"), F.col("e").alias("x"))
+    second = large.select(key, reach.alias("bx"), F.col("b").alias("by"), F.col("e").alias("y"))
+    cells = first.hint("shuffle_merge").join(second, [key, "bx", "by"]).select("x", "y")
+    return small.unionByName(cells).where(F.col("x.item_id") < F.col("y.item_id"))
+
+
+def _summed(pairs: DataFrame, value: Column) -> DataFrame:
+    rows = pairs.select(F.col("x.item_id").alias("i"), F.col("y.item_id").alias("j"), value.alias("w"))
+    return rows.groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
 def cooc_counts(log: DataFrame, key: str = "entity_id") -> DataFrame:
     """``(i, j, w)``, i < j: sum over the key's rows of the products of their weights.
 
@@ -22,10 +51,8 @@ def cooc_counts(log: DataFrame, key: str = "entity_id") -> DataFrame:
     every row with every other (the product of sums is the sum of products). Repeated rows thus
     count by multiplicity; pairs without any weight are left out.
     """
-    g = log.where(F.col(key).isNotNull()).groupBy(key, "item_id").agg(F.sum("weight").alias("w")).where("w > 0")
-    a = g.select(F.col(key).alias("k"), F.col("item_id").alias("i"), F.col("w").alias("wa"))
-    b = g.select(F.col(key).alias("k"), F.col("item_id").alias("j"), F.col("w").alias("wb"))
-    return a.join(b, "k").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    g = log.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"), "item_id").agg(F.sum("weight").alias("w")).where("w > 0")
+    return _summed(key_pairs(g), F.col("x.w") * F.col("y.w"))
 
 
 def cooc_temporal(log: DataFrame, half_life_days: float = 30.0, alpha: float = 1.0, key: str = "entity_id") -> DataFrame:
@@ -34,11 +61,9 @@ def cooc_temporal(log: DataFrame, half_life_days: float = 30.0, alpha: float = 1
     The lift is 1 + alpha / (1 + exp(dt / half life)), from 1 + alpha / 2 down to 1. Rows of one
     instant are folded first; a row without time gets no lift.
     """
-    g = log.where(F.col(key).isNotNull()).groupBy(key, "item_id", "ts").agg(F.sum("weight").alias("w")).where("w > 0")
-    a = g.select(F.col(key).alias("k"), F.col("item_id").alias("i"), F.col("ts").alias("ta"), F.col("w").alias("wa"))
-    b = g.select(F.col(key).alias("k"), F.col("item_id").alias("j"), F.col("ts").alias("tb"), F.col("w").alias("wb"))
-    lift = 1.0 + alpha / (1.0 + F.exp(F.abs(F.col("ta") - F.col("tb")) / (half_life_days * DAY)))
-    return a.join(b, "k").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb") * F.coalesce(lift, F.lit(1.0))).alias("w"))
+    g = log.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"), "item_id", "ts").agg(F.sum("weight").alias("w")).where("w > 0")
+    lift = 1.0 + alpha / (1.0 + F.exp(F.abs(F.col("x.ts") - F.col("y.ts")) / (half_life_days * DAY)))
+    return _summed(key_pairs(g), F.col("x.w") * F.col("y.w") * F.coalesce(lift, F.lit(1.0)))
 
 
 def item_rows(log: DataFrame) -> DataFrame:
@@ -99,10 +124,9 @@ def gram(log: DataFrame, use_weights: bool = False) -> DataFrame:
 
     With weights, cells of weight 0 are left out; without, every row makes its cell 1.
     """
-    cells = log.groupBy("entity_id", "item_id").agg((F.max("weight") if use_weights else F.lit(1.0)).alias("x")).where("x > 0")
-    a = cells.select("entity_id", F.col("item_id").alias("i"), F.col("x").alias("xa"))
-    b = cells.select("entity_id", F.col("item_id").alias("j"), F.col("x").alias("xb"))
-    return a.join(b, "entity_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("xa") * F.col("xb")).alias("w"))
+    cells = log.groupBy(F.col("entity_id").alias("k"), "item_id").agg((F.max("weight") if use_weights else F.lit(1.0)).alias("w")).where("w > 0")
+    diagonal = cells.groupBy(F.col("item_id").alias("i")).agg(F.sum(F.col("w") * F.col("w")).alias("w"))
+    return _summed(key_pairs(cells), F.col("x.w") * F.col("y.w")).unionByName(diagonal.select("i", F.col("i").alias("j"), "w"))
 
 
 class ItemGraph:

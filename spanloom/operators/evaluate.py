@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.channels import multiplicity, popularity
 from spanloom.operators.contract import HISTORY_ORDER, history
+from spanloom.operators.edges import key_pairs
 
 
 def chronological_split(log: DataFrame, test_fraction: float = 0.1, order: list[str] | None = None) -> DataFrame:
@@ -148,8 +149,7 @@ def item_knn_edges(log: DataFrame, k: int = 200) -> DataFrame:
     """``(i, j, w)``: cosine of the binary item columns, the ``k`` strongest per item."""
     x = log.select("entity_id", "item_id").distinct()
     n = x.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = x.select("entity_id", F.col("item_id").alias("i")), x.select("entity_id", F.col("item_id").alias("j"))
-    c = a.join(b, "entity_id").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
+    c = key_pairs(x.withColumnRenamed("entity_id", "k")).groupBy(F.col("x.item_id").alias("i"), F.col("y.item_id").alias("j")).agg(F.count(F.lit(1)).alias("c"))
     c = c.join(n.select(F.col("item_id").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("item_id").alias("j"), F.col("n").alias("nj")), "j")
     half = c.select("i", "j", (F.col("c") / F.sqrt(F.col("ni") * F.col("nj"))).alias("w"))
     both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))

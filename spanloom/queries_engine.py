@@ -19,8 +19,8 @@ from spanloom.operators.activity import label_sessions
 from spanloom.operators.ease import fit_ease
 from spanloom.operators.infer_sessions import cart_outcomes, infer_sessions
 from spanloom.plans import score as sc
-from spanloom.plans.packed import top_by_edges
-from spanloom.runtime import cut, read, seconds
+from spanloom.plans import packed as pk
+from spanloom.runtime import cut, read, seconds, stage
 from spanloom.sources.loaders import latest_property
 
 #: EASE is solved on one machine; its queries take the event log (100 items) at every scale.
@@ -312,14 +312,14 @@ nb as (select *, row_number() over (partition by entity_id order by sim desc, ne
 @query(_E + _UCF + " select entity_id, neighbor, overlap::bigint as overlap, round(sim, 6) as sim, rank::integer as rank from nb where rank <= 100")
 def user_cf_neighbors(spark, d):
     log = events_log(spark, d)
-    return ch.user_neighbors(ch.multiplicity(log), log.select("entity_id", "item_id").distinct()).select("entity_id", "neighbor", "overlap", r6("sim"), "rank")
+    return pk.user_neighbors(ch.multiplicity(log), log.select("entity_id", "item_id").distinct()).select("entity_id", "neighbor", "overlap", r6("sim"), "rank")
 
 
 @query(_E + _UCF + " select nb.entity_id, hi.item_id, round(sum(sim), 6) as ucf from nb join hi on hi.entity_id = nb.neighbor where rank <= 100 group by all")
 def user_cf_scores(spark, d):
     log = events_log(spark, d)
     pairs = log.select("entity_id", "item_id").distinct()
-    return ch.user_cf(ch.user_neighbors(ch.multiplicity(log), pairs), pairs).select("entity_id", "item_id", r6("ucf"))
+    return ch.user_cf(pk.user_neighbors(ch.multiplicity(log), pairs), pairs).select("entity_id", "item_id", r6("ucf"))
 
 
 _FEAT = """with q as (select quantile_cont(p_size, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qs, quantile_cont(p_retailprice, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) as qp from part),
@@ -355,7 +355,7 @@ def text_features(spark, d):
 select entity_id, item_id, round(sum(p * w), 6) as content from pr join f using (feature) group by all"""
 )
 def content_scores(spark, d):
-    return ch.content_scores(ch.multiplicity(orders_log(spark, d)), cut(part_features(spark, d))).select("entity_id", "item_id", r6("content"))
+    return pk.content_scores(ch.multiplicity(orders_log(spark, d)), stage(part_features(spark, d))).select("entity_id", "item_id", r6("content"))
 
 
 _KNN = """, sm as (select a.item_id as i, b.item_id as j, sum(a.w * b.w) as sim from f a join f b on a.feature = b.feature and a.item_id <> b.item_id group by all),
@@ -364,7 +364,7 @@ kn as (select i, j, sim, row_number() over (partition by i order by round(sim, 9
 
 @query(_FEAT + _KNN + "select i, j, round(sim, 6) as sim, rank::integer as rank from kn where rank <= 20")
 def metadata_knn(spark, d):
-    return ft.nearest_items(cut(part_features(spark, d)), 20).select("i", "j", r6("sim"), "rank")
+    return pk.nearest_items(stage(part_features(spark, d)), 20).select("i", "j", r6("sim"), "rank")
 
 
 @query(
@@ -375,8 +375,8 @@ def metadata_knn(spark, d):
 select round(regr_slope(t, sim), 6) as slope, round(regr_intercept(t, sim), 6) as intercept, count(*) as n from e"""
 )
 def smoothing_dose_ols(spark, d):
-    near = ft.nearest_items(cut(part_features(spark, d)), 20)
-    fit = ft.fit_dose(cut(near), ed.mirrored(ed.cooc_counts(orders_log(spark, d))), "ols")
+    near = pk.nearest_items(stage(part_features(spark, d)), 20)
+    fit = ft.fit_dose(stage(near), ed.mirrored(ed.cooc_counts(orders_log(spark, d))), "ols")
     return spark.createDataFrame([(round(fit["slope"], 6), round(fit["intercept"], 6), fit["n"])], "slope double, intercept double, n bigint")
 
 
@@ -428,8 +428,12 @@ _HIST = ", hi as (select entity_id, item_id, count(*) as cnt from ixo group by a
 _BASE = ", bs as (select entity_id, j as item_id, sum(cnt * w) as base from hi join wb on wb.i = hi.item_id group by all)"
 
 
+def _wilson_half(log: DataFrame) -> DataFrame:
+    return ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), "wilson")
+
+
 def _wilson(log: DataFrame) -> DataFrame:
-    return ed.mirrored(ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), "wilson"))
+    return ed.mirrored(_wilson_half(log))
 
 
 @query(
@@ -441,9 +445,8 @@ def _wilson(log: DataFrame) -> DataFrame:
 select entity_id, rank::integer as rank, item_id, round(base, 6) as score from r where rank <= 10"""
 )
 def base_scores_topk(spark, d):
-    log = cut(orders_log(spark, d))
-    half = ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), "wilson")
-    return top_by_edges(log, half, TOP).select("entity_id", "rank", "item_id", r6("score"))
+    log = stage(orders_log(spark, d))
+    return pk.top_by_edges(log, _wilson_half(log), TOP).select("entity_id", "rank", "item_id", r6("score"))
 
 
 # the whole user x catalog square, zeros written out
@@ -454,16 +457,19 @@ bl as (select sq.entity_id, sq.item_id, case when bd > 0 then (base - bm) / bd e
 _POOL = ", ms as (select bl.* from bl anti join hi using (entity_id, item_id)), pl as (select *, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as place from ms qualify place <= 500)"
 
 
-def _blended(log: DataFrame) -> DataFrame:
-    """Scores of the fused co-occurrence base: Wilson edges, trend and transitions."""
+def _blended_pool(log: DataFrame, layers: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Pool of the fused co-occurrence base (Wilson edges, trend and transitions), and the layers' values (entity_id, item_id, value)."""
+    half, steps, trend = stage(_wilson_half(log)), stage(ed.transitions(log)), stage(ch.trend(log, log))
+    pooled = pk.blended_pool(log, half, steps, trend, {"transitions": 0.25, "trend": 0.5}, BUDGET, layers)
+    if pooled is not None:
+        pooled = stage(pooled) if layers else pooled
+        return pooled, [pooled.select("entity_id", "item_id", F.col(f"v{k}").alias("value")) for k in range(len(layers))]
     hist = ch.multiplicity(log)
     blend = sc.Blend(
-        sc.Channel("base", ch.base_scores(hist, _wilson(log)), 1.0),
-        [sc.Channel("trans", ch.transition_votes(log, ed.transitions(log)), 0.25)],
-        cut(ch.trend(log, log).select("item_id", F.col("trend_z").alias("term"))),
-        0.5,
+        sc.Channel("base", ch.base_scores(hist, ed.mirrored(half)), 1.0), [sc.Channel("trans", ch.transition_votes(log, steps), 0.25)], trend.select("item_id", F.col("trend_z").alias("term")), 0.5
     )
-    return sc.blend(blend, log.select("item_id").distinct().count(), log.select("entity_id").distinct(), BUDGET)
+    scores = sc.blend(blend, log.select("item_id").distinct().count(), log.select("entity_id").distinct(), BUDGET)
+    return stage(sc.pool(sc.mask_owned(scores, log), BUDGET)), [ch.base_scores(hist, ed.mirrored(e), "value") for e in layers]
 
 
 _BLEND = _O + _WIL + _HIST + _BASE + _STEP.format(x="ixo") + _VOTE.format(x="ixo") + _TREND.format(x="ixo") + _SQUARE + _POOL
@@ -471,8 +477,7 @@ _BLEND = _O + _WIL + _HIST + _BASE + _STEP.format(x="ixo") + _VOTE.format(x="ixo
 
 @query(_BLEND + " select entity_id, place::integer as rank, item_id, round(score, 6) as score from pl where place <= 10")
 def blended_topk(spark, d):
-    log = cut(orders_log(spark, d))
-    pooled = sc.pool(sc.mask_owned(_blended(log), log), BUDGET)
+    pooled, _ = _blended_pool(stage(orders_log(spark, d)), [])
     return sc.top_n(pooled.withColumn("composite", F.col("score")), TOP, "cooc_fused").select("entity_id", "rank", "item_id", r6("score"))
 
 
@@ -487,10 +492,9 @@ rk as (select *, row_number() over (partition by entity_id order by round(compos
 select entity_id, rank::integer as rank, item_id, round(composite, 6) as score from rk where rank <= 10"""
 )
 def layered_boost(spark, d):
-    log = cut(orders_log(spark, d))
-    pooled = cut(sc.pool(sc.mask_owned(_blended(log), log), BUDGET))
-    layer = ch.base_scores(ch.multiplicity(log), ed.mirrored(ed.cooc_counts(log, "session_id")), "value")
-    return sc.top_n(sc.boosted(pooled, [layer]), TOP, "cooc_fused").select("entity_id", "rank", "item_id", r6("score"))
+    log = stage(orders_log(spark, d))
+    pooled, layers = _blended_pool(log, [ed.cooc_counts(log, "session_id")])
+    return sc.top_n(sc.boosted(pooled, layers), TOP, "cooc_fused").select("entity_id", "rank", "item_id", r6("score"))
 
 
 @query()
@@ -502,7 +506,7 @@ def ease_topk(spark, d):
     pairs = log.select("entity_id", "item_id").distinct()
     blend = sc.Blend(
         sc.Channel("base", model.scores(hist), 1.0),
-        [sc.Channel("last", model.scores(last, "last"), 0.25), sc.Channel("ucf", ch.user_cf(ch.user_neighbors(hist, pairs), pairs), 1.0), sc.Channel("trans", ch.transition_votes(log, ed.transitions(log)), 0.25)],
+        [sc.Channel("last", model.scores(last, "last"), 0.25), sc.Channel("ucf", ch.user_cf(pk.user_neighbors(hist, pairs), pairs), 1.0), sc.Channel("trans", ch.transition_votes(log, ed.transitions(log)), 0.25)],
         cut(ch.trend(log, log).select("item_id", F.col("trend_z").alias("term"))), 0.5,
     )
     pooled = sc.pool(sc.mask_owned(sc.blend(blend, model.n, log.select("entity_id").distinct(), BUDGET), log), BUDGET)
@@ -525,8 +529,7 @@ z as (select us.entity_id, cd.item_id, coalesce((coalesce(content, 0) - m) / s,
 def _cold_shelf(log: DataFrame, meta: DataFrame, slots: int, listed: DataFrame | None = None) -> DataFrame:
     items = ch.popularity(log, meta).withColumn("coldness", ch.coldness(F.col("n"), WARM))
     cold = items.where("coldness >= 0.75").select("item_id", F.lit(0.0).alias("recency"))
-    content = ch.content_scores(ch.multiplicity(log), cut(ft.item_features(meta)))
-    return sc.cold_candidates(content, cold, log, meta.count(), 2.0, slots, listed)
+    return pk.cold_shelf(ch.multiplicity(log), stage(ft.item_features(meta)), cold, meta.count(), 2.0, slots, listed)
 
 
 @query(
