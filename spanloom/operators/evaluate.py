@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.operators.channels import multiplicity, popularity
 from spanloom.operators.contract import HISTORY_ORDER, history
 from spanloom.operators.edges import key_pairs
+from spanloom.operators.order import first_rows_by_hash, quantiles, ranked
+from spanloom.runtime import stage
 
 
 def chronological_split(log: DataFrame, test_fraction: float = 0.1, order: list[str] | None = None) -> DataFrame:
@@ -57,8 +59,8 @@ def leave_last_fraction(log: DataFrame, least: int = 5) -> DataFrame:
 
 def global_time_holdout(log: DataFrame, quantile: float = 0.85) -> DataFrame:
     """Entities with rows on both sides of a quantile of all times: ``is_held`` marks those at or after it."""
-    q = log.agg(F.percentile("ts", quantile).alias("_q"))
-    rows = log.crossJoin(F.broadcast(q)).withColumn("is_held", F.col("ts") >= F.col("_q")).drop("_q")  # one row
+    q = quantiles(log, "ts", [quantile])
+    rows = log.withColumn("is_held", F.col("ts") >= F.lit(q[0] if q else None).cast("double"))
     both = rows.groupBy("entity_id").agg(F.bool_or("is_held").alias("a"), F.bool_and("is_held").alias("b")).where("a and not b")
     return rows.join(both.select("entity_id"), "entity_id", "left_semi")
 
@@ -67,14 +69,20 @@ def strided_users(train: DataFrame, test: DataFrame, max_users: int = 500) -> Da
     """``(entity_id)``: users of both splits, every k-th in order of their id as text."""
     users = train.select("entity_id").distinct().join(test.select("entity_id").distinct(), "entity_id", "left_semi")
     step = max(1, users.count() // max_users)
-    ranked = users.withColumn("_r", F.row_number().over(Window.orderBy(F.col("entity_id").cast("string"))) - 1)
-    return ranked.where((F.col("_r") % step == 0) & (F.col("_r") / step < max_users)).select("entity_id")
+    places = ranked(users, [F.col("entity_id").cast("string")], "_r").withColumn("_r", F.col("_r") - 1)
+    return places.where((F.col("_r") % step == 0) & (F.col("_r") / step < max_users)).select("entity_id")
 
 
-def nested_subsample(log: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """About ``fraction`` of the rows, chosen by hash: a smaller fraction is part of every larger one."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in log.columns]), F.lit(1_000_003))
-    return log.where(h < F.lit(int(fraction * 1_000_003)))
+def nested_subsample(log: DataFrame, fraction: float, seed: int = 0, earliest: bool = False) -> DataFrame:
+    """Exactly round(n x ``fraction``) rows: a smaller fraction is part of every larger one.
+
+    The rows come in a random order fixed by ``seed``; with ``earliest`` they are the first in time.
+    """
+    n = log.count()
+    want = round(n * fraction)
+    if earliest:
+        return chronological_split(log, 1 - want / n).where("is_train").drop("is_train") if n else log
+    return first_rows_by_hash(log, want, seed)
 
 
 def user_row_cap(log: DataFrame, rows: int, seed: int = 0) -> DataFrame:
@@ -123,20 +131,23 @@ def list_diversity(recs: DataFrame, similarity: DataFrame, k: int = 10) -> DataF
 def popularity_lists(log: DataFrame, users: DataFrame, n: int = 10, mask: bool = True) -> DataFrame:
     """Everyone gets the most popular items they do not own.
 
-    The list of candidates is as long as ``n`` plus what an entity can own of it, taken in order:
-    the first ``n + d`` items serve every entity owning at most ``d`` of them.
+    Items are numbered by popularity. An entity's own items leave gaps between their numbers, and
+    its list is the first ``n`` numbers in those gaps: no entity is paired with more than ``n``
+    items, however many another one owns.
     """
-    ranked = popularity(log).withColumn("pop_rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("item_id"))))  # catalog
-    owned = log.select("entity_id", "item_id").distinct()
-    longest = owned.groupBy("entity_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"] if mask else 0
-    head = [(r["item_id"], r["pop_rank"], r["n"]) for r in ranked.where(F.col("pop_rank") <= n + longest).orderBy("pop_rank").collect()]  # at most n + longest history
-    spark, kind = log.sparkSession, dict(log.dtypes)["item_id"]
-    items = spark.createDataFrame([(head,)], f"h array<struct<item_id:{kind},pop_rank:int,n:bigint>>")
-    rows = users.select("entity_id").distinct().crossJoin(F.broadcast(items)).select("entity_id", F.explode("h").alias("e")).select("entity_id", "e.*")  # one row
+    places = stage(ranked(popularity(log), [F.col("n").desc(), F.col("item_id")], "pop_rank"))
+    everyone = users.select("entity_id").distinct()
+    end = everyone.withColumn("pop_rank", F.lit(places.count() + 1).cast("long"))
+    taken = end
     if mask:
-        rows = rows.join(owned, ["entity_id", "item_id"], "left_anti")
+        owned = log.select("entity_id", "item_id").distinct().join(everyone, "entity_id", "left_semi")
+        taken = owned.join(places.select("item_id", "pop_rank"), "item_id").select("entity_id", "pop_rank").unionByName(end)
     w = Window.partitionBy("entity_id").orderBy("pop_rank")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("entity_id", "rank", "item_id", F.col("n").cast("double").alias("score"))
+    gaps = taken.withColumn("low", F.coalesce(F.lag("pop_rank").over(w), F.lit(0))).withColumn("free", F.col("low") - F.row_number().over(w) + 1)
+    gaps = gaps.withColumn("take", F.least(F.col("pop_rank") - F.col("low") - 1, F.lit(n) - F.col("free"))).where("take > 0")
+    lists = gaps.select("entity_id", "low", "free", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))).alias("k"))
+    lists = lists.select("entity_id", (F.col("free") + F.col("k")).cast("int").alias("rank"), (F.col("low") + F.col("k")).alias("pop_rank"))
+    return lists.join(places, "pop_rank").select("entity_id", "rank", "item_id", F.col("n").cast("double").alias("score"))
 
 
 def personal_frequency(log: DataFrame, n: int = 10) -> DataFrame:
@@ -172,8 +183,15 @@ def als_lists(log: DataFrame, n: int = 10, factors: int = 64, reg: float = 0.01,
 
     data = multiplicity(log).select(F.col("entity_id").cast("int").alias("u"), F.col("item_id").cast("int").alias("i"), F.col("cnt").cast("float").alias("r"))
     model = ALS(rank=factors, regParam=reg, maxIter=iterations, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="r", seed=seed).fit(data)
-    longest = data.groupBy("u").count().agg(F.max("count")).first()[0] or 0
-    raw = model.recommendForAllUsers(n + longest).select("u", F.explode("recommendations").alias("e")).select("u", F.col("e.i").alias("i"), F.col("e.rating").alias("score"))
+    # entities with up to 1, 2, 4, ... items of their own need that many candidates beyond n, and no others do
+    sizes = stage(data.groupBy("u").agg(F.ceil(F.log2(F.count(F.lit(1)))).cast("int").alias("c")))
+    raw = None
+    for c in sorted(r[0] for r in sizes.select("c").distinct().collect()):  # about 30 classes at most
+        part = model.recommendForUserSubset(sizes.where(F.col("c") == c).select("u"), n + 2**c)
+        raw = part if raw is None else raw.unionByName(part)
+    if raw is None:
+        raw = model.recommendForAllUsers(n)
+    raw = raw.select("u", F.explode("recommendations").alias("e")).select("u", F.col("e.i").alias("i"), F.col("e.rating").alias("score"))
     raw = raw.join(data.select("u", "i"), ["u", "i"], "left_anti")
     w = Window.partitionBy("u").orderBy(F.col("score").desc(), F.col("i"))
     return raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(F.col("u").cast("bigint").alias("entity_id"), "rank", F.col("i").cast("bigint").alias("item_id"), F.col("score").cast("double").alias("score"))

@@ -55,10 +55,13 @@ class Sparse:
         return out
 
 
-def fits(edges: DataFrame, key: str, target: str, entries: int = MAX_ENTRIES) -> bool:
-    """Whether ``edges`` may be sent: whole-number ids, and no more entries than allowed."""
-    kinds = dict(edges.dtypes)
-    return kinds[target] in _WHOLE and kinds[key] in (*_WHOLE, "string") and edges.count() <= entries
+def fits(key: str, target: str, *edges: DataFrame, entries: int = MAX_ENTRIES) -> bool:
+    """Whether all ``edges`` together may be sent: whole-number ids, and no more entries than allowed."""
+    for e in edges:
+        kinds = dict(e.dtypes)
+        if kinds[target] not in _WHOLE or kinds[key] not in (*_WHOLE, "string"):
+            return False
+    return sum(e.count() for e in edges) <= entries
 
 
 def matrix(edges: DataFrame, key: str, target: str, value: str, targets: np.ndarray | None = None, mirrored: bool = False) -> tuple[Sparse, np.ndarray]:

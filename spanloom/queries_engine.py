@@ -730,7 +730,10 @@ def latest_item_property(spark, d):
     return latest_property(ix_events(spark, d).select("item_id", seconds(F.col("timestamp")).alias("ts"), F.col("event_type").alias("category")))
 
 
-@query()
+_TEXT = "md5(concat_ws('|', '0', entity_id::varchar, item_id::varchar, ts::decimal(38,6)::varchar, session_id::varchar, weight::decimal(38,6)::varchar))"
+
+
+@query(_O + f", r as (select entity_id, row_number() over (order by {_TEXT}) as k, count(*) over () as n from ixo) select entity_id, count(*) as n from r where k <= round_even(n * 0.25, 0) group by 1")
 def nested_subsample(spark, d):
-    log = orders_log(spark, d)
+    log = orders_log(spark, d).select("entity_id", "item_id", "ts", "session_id", "weight")
     return ev.nested_subsample(log, 0.25).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))

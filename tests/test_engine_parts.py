@@ -468,6 +468,66 @@ def test_cold_candidates_equal_dense(spark, slots):
         assert [s for s, _ in sorted(have[u])[:slots]] == pytest.approx([s for s, _ in want[:slots]])
 
 
+def test_ranks_quantiles_and_first_rows(spark, monkeypatch):
+    from spanloom.operators import order
+
+    rnd = random.Random(3)
+    vals = [rnd.choice([None, float("nan"), 5.0, 5.0, rnd.gauss(0, 9)]) for _ in range(900)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
+    known = np.array([v for v in vals if v is not None and v == v])
+    for few in (10**6, 20):
+        monkeypatch.setattr(order, "FEW", few)
+        assert order.quantiles(df, "v", [0, 0.125, 0.5, 0.85, 1]) == pytest.approx(list(np.quantile(known, [0, 0.125, 0.5, 0.85, 1])))
+    assert order.quantiles(df.where("false"), "v", [0.5]) is None
+    got = order.ranked(df, [F.col("v").desc_nulls_last(), F.col("id")], "r").orderBy("r").collect()
+    assert [r["r"] for r in got] == list(range(1, 901)) and [r["v"] for r in got if r["v"] is not None and r["v"] == r["v"]] == sorted(known, reverse=True)
+    copies = spark.createDataFrame([(1, "a")] * 50 + [(i, None) for i in range(50)], "k long, s string")
+    some, more = (order.first_rows_by_hash(copies, n) for n in (30, 70))
+    assert some.count() == 30 and more.count() == 70 and some.exceptAll(more).count() == 0 and order.first_rows_by_hash(copies, 500).count() == 100
+
+
+def test_popularity_lists_of_heavy_owners(spark):
+    log = log_of(spark, [(0, i) for i in range(200)] + [(u, i) for u in range(1, 9) for i in range(u * 3)] + [(50, 900), (50, 0)])
+    owned, n = {}, {}
+    for r in log.select("entity_id", "item_id").collect():
+        owned.setdefault(r[0], set()).add(r[1])
+        n[r[1]] = n.get(r[1], 0) + 1
+    want = {u: [i for i in sorted(n, key=lambda i: (-n[i], i)) if i not in o][:5] for u, o in owned.items()}
+    got = {}
+    for r in ev.popularity_lists(log, log, 5).orderBy("entity_id", "rank").collect():
+        got.setdefault(r["entity_id"], []).append(r["item_id"])
+    assert got == {u: w for u, w in want.items() if w}
+    assert ev.popularity_lists(log, log, 5, mask=False).count() == 5 * len(owned)
+
+
+def test_pairs_of_a_hot_key(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(0, rnd.randrange(60), rnd.randrange(9)) for _ in range(150)] + [(rnd.randrange(1, 30), rnd.randrange(60), rnd.randrange(9)) for _ in range(300)]
+    log = log_of(spark, rows)
+    whole = [edges_of(f(log)) for f in (ed.cooc_counts, ed.cooc_temporal, ed.gram)]
+    monkeypatch.setattr(ed, "BLOCK", 7)  # the hot key in many blocks
+    for a, b in zip(whole, (edges_of(f(log)) for f in (ed.cooc_counts, ed.cooc_temporal, ed.gram)), strict=True):
+        assert a == pytest.approx(b) and len(a) > 500
+
+
+def test_packed_equals_joined(spark, monkeypatch):
+    """Neighbours, content, nearest items, cold shelves and the blended pool: sums in arrays and joins give the same."""
+    from spanloom.operators import sparse
+    from spanloom.plans import packed as pk
+
+    rnd = random.Random(6)
+    log = log_of(spark, [(rnd.randrange(25), rnd.randrange(30), t) for t in range(250)])
+    hist, pairs = ch.multiplicity(log), log.select("entity_id", "item_id").distinct()
+    f = ft.weigh_features(spark.createDataFrame([(i, f"g={rnd.randrange(6)}") for i in range(40) for _ in range(3)], "item_id long, feature string").distinct(), 40)
+    cold = spark.createDataFrame([(i, i / 50) for i in range(25, 45)], "item_id long, recency double")
+    show = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.collect())
+    calls = [lambda: pk.user_neighbors(hist, pairs, 7), lambda: pk.user_neighbors(hist, pairs, 7, False), lambda: pk.content_scores(hist, f), lambda: pk.nearest_items(f, 4).select("i", "j", "sim", "rank"), lambda: pk.cold_shelf(hist, f, cold, 40, 2.0, 3, pairs.where("item_id > 28")).select("entity_id", "item_id", "score")]
+    packed = [show(c()) for c in calls]
+    monkeypatch.setattr(sparse, "fits", lambda *a, **k: False)
+    assert [show(c()) for c in calls] == packed and all(packed)
+    assert pk.blended_pool(log, ed.cooc_counts(log), None, None, {}) is None
+
+
 def test_packed_lists_equal_joined(spark):
     from spanloom.plans.packed import top_by_edges
 
