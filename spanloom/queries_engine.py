@@ -449,6 +449,43 @@ def base_scores_topk(spark, d):
     return pk.top_by_edges(log, _wilson_half(log), TOP).select("entity_id", "rank", "item_id", r6("score"))
 
 
+@query(
+    _O
+    + _WIL
+    + _HIST
+    + _BASE
+    + """, mk as (select bs.* from bs anti join hi using (entity_id, item_id)), r as (select *, row_number() over (partition by entity_id order by round(base, 9) desc, item_id) as rank from mk where base > 0)
+select entity_id, rank::integer as rank, item_id, round(base, 6) as score, 'cooc' as base_kind from r where rank <= 10"""
+)
+def engine_topk(spark, d):
+    """The engine itself: fit on the log without times (Wilson co-occurrence alone), lists for all entities."""
+    from spanloom.plans.engine import Engine
+
+    engine = Engine(base_scorer="cooc", repeat_recommend=False).fit(ix_orders(spark, d).select("entity_id", "item_id"))
+    return engine.recommend_batch(n=TOP).select("entity_id", "rank", "item_id", r6("score"), "base_kind")
+
+
+@query(
+    _E
+    + (_WIL + _HIST + _BASE).replace("ixo", "ixe")
+    + _REP
+    + """, nw as (select max(ts) as now from ixe),
+du as (select rp.entity_id, rp.item_id, (coalesce(base, 0) + 50 * ln(1 + rp.cnt)) * case when period is null then 1.0
+  else quality * (1 / (1 + exp(-6.0 * (greatest(now - last_ts, 0)::double / greatest(period, 1e-9) - 0.7)))) + 1 - quality end as score from rp left join bs using (entity_id, item_id), nw),
+al as (select entity_id, item_id, base as score from bs anti join hi using (entity_id, item_id) union all select * from du),
+r as (select *, row_number() over (partition by entity_id order by round(score, 9) desc, item_id) as rank from al where score > 0)
+select entity_id, rank::integer as rank, item_id, round(score, 6) as score from r where rank <= 10"""
+)
+def repeat_resurface(spark, d):
+    """Lists in which repeat items come back at their affinity and frequency, by how due they are."""
+    log = stage(events_log(spark, d))
+    scores = stage(ch.base_scores(ch.multiplicity(log), _wilson(log)).withColumnRenamed("base", "score"))
+    now = log.agg(F.max("ts")).first()[0] or 0.0
+    due = rp.due_items(rp.repeat_profile(log), scores, now)
+    pooled = sc.pool(sc.mask_owned(scores, log, due), BUDGET)
+    return sc.top_n(pooled.withColumn("composite", F.col("score")), TOP, "cooc").select("entity_id", "rank", "item_id", r6("score"))
+
+
 # the whole user x catalog square, zeros written out
 _SQUARE = """, us as (select distinct entity_id from ixo), it as (select distinct item_id from ixo),
 sq as (select us.entity_id, it.item_id, coalesce(base, 0) as base, coalesce(trans, 0) as trans from us cross join it left join bs using (entity_id, item_id) left join v using (entity_id, item_id)),
