@@ -537,3 +537,29 @@ def test_packed_lists_equal_joined(spark):
     a, b = ([tuple(r)[:3] + (round(r["score"], 6),) for r in top_by_edges(log, half, 6, m).orderBy("entity_id", "rank").collect()] for m in (10**6, 0))
     assert a == b and len(a) > 100
     assert top_by_edges(log.where("false"), half.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("square", "dense"), [(1024, 10**7), (0, 0)])
+def test_classes_of_equal_features_equal_joined(spark, monkeypatch, square, dense):
+    """Lists by classes of items of equal features, which hold numbers only in the driver, are those of the joins."""
+    from spanloom.operators import classes as cl
+    from spanloom.operators import sparse
+    from spanloom.plans import packed as pk
+
+    rnd = random.Random(9)
+    log = log_of(spark, [(rnd.randrange(25), rnd.randrange(70)) for _ in range(400)])
+    hist = ch.multiplicity(log)
+    f = ft.weigh_features(spark.createDataFrame([(i, f"{c}={i // 5 % m}") for i in range(66) for c, m in (("a", 5), ("b", 3))], "item_id long, feature string"), 66)
+    cold = spark.createDataFrame([(i, i % 3 / 50) for i in range(20, 72)], "item_id long, recency double")
+    listed = hist.select("entity_id", (F.col("item_id") + 1).alias("item_id")).distinct()
+    found, _ = cl.classes(f)
+    assert len(found.items) == 66 and len(found.starts) - 1 == 14 and all(x.dtype.kind in "if" for x in (found.items, found.of, found.codes, found.vals))
+    monkeypatch.setattr(cl, "MAX_SQUARE", square)
+    monkeypatch.setattr(pk, "MAX_DENSE", dense)
+    show = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.collect())
+    calls = [lambda: pk.content_scores(hist, f), *[lambda k=k: pk.nearest_items(f, k).select("i", "j", "sim", "rank") for k in (2, 30)]]
+    calls += [lambda b=b, x=x: pk.cold_shelf(hist, f, cold, 70, b, 6, x).select("entity_id", "item_id", "score") for b in (0.0, 2.0) for x in (None, listed)]
+    packed = [show(c()) for c in calls]
+    monkeypatch.setattr(sparse, "fits", lambda *a, **k: False)
+    for a, c in zip(packed, calls, strict=True):
+        assert a == [pytest.approx(x, abs=2e-6) for x in show(c())] and a
