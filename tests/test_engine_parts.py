@@ -563,3 +563,20 @@ def test_classes_of_equal_features_equal_joined(spark, monkeypatch, square, dens
     monkeypatch.setattr(sparse, "fits", lambda *a, **k: False)
     for a, c in zip(packed, calls, strict=True):
         assert a == [pytest.approx(x, abs=2e-6) for x in show(c())] and a
+
+
+@pytest.mark.parametrize("at_once", [10, 10**6])
+def test_edges_in_blocks_equal_joined(spark, monkeypatch, at_once):
+    """Edges of packed lists, summed block by block, without a shuffled row per pair."""
+    from spanloom.operators import pairs as pr
+
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(40), rnd.randrange(-30, 50) * 10**9, None, None, rnd.choice([0.0, 0.25, 1.0, 3.0])) for _ in range(500)] + [(None, 7, None, None, 1.0), (99, 7, None, None, 1.0)]
+    log = log_of(spark, rows)
+    monkeypatch.setattr(pr, "AT_ONCE", at_once)
+    for how in ("raw", "cosine", "jaccard", "wilson"):
+        got = edges_of(pr.cooc_edges(log, how))
+        assert got == pytest.approx(edges_of(ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), how)), abs=2e-6) and len(got) > 500
+    assert pr.cooc_edges(log.where("false"), "cosine").count() == 0
+    plan = pr.cooc_edges(log, "cosine")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
