@@ -580,3 +580,23 @@ def test_edges_in_blocks_equal_joined(spark, monkeypatch, at_once):
     assert pr.cooc_edges(log.where("false"), "cosine").count() == 0
     plan = pr.cooc_edges(log, "cosine")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize(("per_block", "places", "weights"), [(10**6, 10**6, [1.0]), (150, 40, [0.0, 1.0, 3.0]), (1, 7, [0.0, 0.3, 2.5])])
+def test_lists_without_kept_edges_equal_joined(spark, monkeypatch, per_block, places, weights):
+    """Lists from edges that are made in blocks are those of the edges themselves."""
+    from spanloom.operators import packs
+    from spanloom.plans import packed as pk
+
+    rnd = random.Random(12)
+    log = log_of(spark, [(rnd.randrange(30) * 7, rnd.randrange(-20, 30) * 10**9, None, None, rnd.choice(weights)) for _ in range(400)] + [(999, 5, None, None, 1.0)])
+    some = log.where("entity_id % 2 = 0").limit(90)
+    monkeypatch.setattr(packs, "PER_BLOCK", per_block)
+    monkeypatch.setattr(packs, "PLACES", places)
+    show = lambda d: [tuple(r)[:3] + (pytest.approx(r["score"], abs=1e-8),) for r in d.select("entity_id", "rank", "item_id", "score").orderBy("entity_id", "rank").collect()]
+    for how in ("raw", "cosine", "jaccard", "wilson"):
+        half = ed.transform_edges(ed.cooc_counts(log), ed.item_rows(log), how)
+        for who in (log, some):
+            want = show(pk.top_by_edges(who, half, 6, 0))
+            assert show(pk.top_by_log(who, log, how, 6)) == want and len(want) > 50
+    assert pk.top_by_log(log.where("false"), log.where("false"), "wilson").count() == 0

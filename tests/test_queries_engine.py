@@ -5,6 +5,7 @@ import inspect
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,3 +140,62 @@ def test_baselines_run_with_the_full_parameters(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(qe.ev, "als_lists", lambda *a, **k: (b := fit.bind(*a, **k), b.apply_defaults(), used.update(b.arguments)))
     qe.als_baseline(spark, str(tmp_path))
     assert (used["n"], used["factors"], used["iterations"]) == (10, 64, 15)
+
+
+def lists_of(log, w, n=10):
+    """{(entity, rank, item)} by sums of symmetric weights ``w`` over the history ``log``, owned items left out."""
+    items, out = sorted({i for _, i in log}), set()
+    for u in {u for u, _ in log}:
+        own = [i for v, i in log if v == u]
+        score = {j: sum(w.get((min(i, j), max(i, j)), 0.0) for i in own) for j in items if j not in own}
+        out |= {(u, r, j) for r, j in enumerate(sorted((j for j in score if score[j] > 0), key=lambda j: (-round(score[j], 9), j))[:n], 1)}
+    return out
+
+
+def no_edges(monkeypatch):
+    """Queries that write or join edges break off."""
+    def refused(*a, **k):
+        raise AssertionError("edges are kept")
+
+    for name in ("cooc_edges", "_wilson_half", "_wilson"):
+        monkeypatch.setattr(qe, name, refused)
+    for name in ("cooc_counts", "mirrored", "transform_edges"):
+        monkeypatch.setattr(qe.ed, name, refused)
+
+
+def wilson_of(log):
+    n, c = Counter(i for _, i in log), Counter()
+    for u in {u for u, _ in log}:
+        own = Counter(i for v, i in log if v == u)
+        for i in own:
+            for j in own:
+                if i < j:
+                    c[i, j] += own[i] * own[j]
+
+    def low(x, m):
+        p, z = min(x / m, 1.0), 1.96**2
+        return (p + z / (2 * m) - 1.96 * math.sqrt(p * (1 - p) / m + z / (4 * m * m))) / (1 + z / m)
+
+    return {k: min(low(x, n[k[0]]), low(x, n[k[1]])) for k, x in c.items()}
+
+
+def shop(spark, path, seed=4):
+    """Orders of a few parts each by 40 customers; (customer, part) rows."""
+    rnd = random.Random(seed)
+    log, orders_, lines = [], [], []
+    for o in range(160):
+        u = rnd.randrange(40)
+        orders_.append((o, u))
+        for p in rnd.sample(range(70), rnd.randrange(1, 5)):
+            log.append((u, p))
+            lines.append((o, p, T0 + dt.timedelta(days=rnd.randrange(300)), 1.0))
+    write(spark, path, "orders", orders_, "o_orderkey long, o_custkey long")
+    write(spark, path, "lineitem", lines, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz, l_quantity double")
+    return log
+
+
+def test_base_scores_topk_keeps_no_edges(spark, tmp_path, monkeypatch):
+    log = shop(spark, tmp_path)
+    no_edges(monkeypatch)
+    got = {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.base_scores_topk(spark, str(tmp_path)).collect()}
+    assert got == lists_of(log, wilson_of(log))
