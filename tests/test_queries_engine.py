@@ -199,3 +199,16 @@ def test_base_scores_topk_keeps_no_edges(spark, tmp_path, monkeypatch):
     no_edges(monkeypatch)
     got = {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.base_scores_topk(spark, str(tmp_path)).collect()}
     assert got == lists_of(log, wilson_of(log))
+
+
+def test_smoothing_dose_ols_sums_only_the_near_edges(spark, tmp_path, monkeypatch):
+    log = shop(spark, tmp_path)
+    parts = [(p, f"name {p % 9}", f"brand {p % 7}", f"type {p % 4}", 1 + p * 7 % 50, 900.0 + p * 13 % 71) for p in range(75)]  # 70 to 74 are unsold
+    write(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    near = [(r["i"], r["j"], r["sim"]) for r in qe.pk.nearest_items(qe.part_features(spark, str(tmp_path)), 20).collect()]
+    own = {u: Counter(i for v, i in log if v == u) for u in {u for u, _ in log}}
+    sim, t = np.array([s for *_, s in near]), np.array([float(sum(c[i] * c[j] for c in own.values())) for i, j, _ in near])
+    no_edges(monkeypatch)
+    (got,) = qe.smoothing_dose_ols(spark, str(tmp_path)).collect()
+    slope, intercept = np.polyfit(sim, t, 1)
+    assert (got["slope"], got["intercept"], got["n"]) == (pytest.approx(slope, abs=2e-6), pytest.approx(intercept, abs=2e-6), len(near)) and t.max() > 1
