@@ -9,9 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom import queries_engine as qe
 from spanloom.operators import repeat as rp
+from spanloom.plans import engine as en
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -212,3 +214,17 @@ def test_smoothing_dose_ols_sums_only_the_near_edges(spark, tmp_path, monkeypatc
     (got,) = qe.smoothing_dose_ols(spark, str(tmp_path)).collect()
     slope, intercept = np.polyfit(sim, t, 1)
     assert (got["slope"], got["intercept"], got["n"]) == (pytest.approx(slope, abs=2e-6), pytest.approx(intercept, abs=2e-6), len(near)) and t.max() > 1
+
+
+def unmade(spark):
+    """Edges that break off the query that makes them."""
+    return lambda *a, **k: spark.range(1).select(*[F.raise_error(F.lit("edges are made")).cast(t).alias(c) for c, t in (("i", "bigint"), ("j", "bigint"), ("w", "double"))])
+
+
+def test_engine_topk_makes_no_edges(spark, tmp_path, monkeypatch):
+    log = shop(spark, tmp_path)
+    no_edges(monkeypatch)
+    monkeypatch.setattr(en, "cooc_edges", unmade(spark), raising=False)
+    monkeypatch.setattr(qe.ed, "mirrored", lambda e: e)
+    got = {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.engine_topk(spark, str(tmp_path)).collect()}
+    assert got == lists_of(log, wilson_of(log))
