@@ -614,7 +614,7 @@ def seed_recommend(spark, d):
 
     log = cut(orders_log(spark, d))
     seeds = log.groupBy("entity_id").agg(F.array_distinct(F.array(F.min("item_id"), F.max("item_id"))).alias("s")).select("entity_id", F.explode("s").alias("item_id"))
-    return Engine.from_edges(log, _wilson(log)).recommend_for_items(seeds, TOP).select("entity_id", "rank", "item_id", r6("score"))
+    return Engine.from_log(log, "wilson").recommend_for_items(seeds, TOP).select("entity_id", "rank", "item_id", r6("score"))
 
 
 @query(_O + ", n as (select item_id, count(*)::double as score from ixo group by 1) select item_id, score, row_number() over (order by score desc, item_id)::integer as rank, 'cold_popularity' as base_kind from n order by score desc, item_id limit 10")

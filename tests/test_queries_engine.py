@@ -228,3 +228,20 @@ def test_engine_topk_makes_no_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(qe.ed, "mirrored", lambda e: e)
     got = {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.engine_topk(spark, str(tmp_path)).collect()}
     assert got == lists_of(log, wilson_of(log))
+
+
+def test_seed_recommend_makes_no_edges(spark, tmp_path, monkeypatch):
+    log = shop(spark, tmp_path)
+    w, n = wilson_of(log), Counter(i for _, i in log)
+    items = sorted(n)
+    pz = np.log1p([n[i] for i in items])
+    pz = dict(zip(items, (pz - pz.mean()) / pz.std(), strict=True))
+    want = set()
+    for u in {u for u, _ in log}:
+        seeds = {f(i for v, i in log if v == u) for f in (min, max)}
+        score = {j: sum(w.get((min(i, j), max(i, j)), 0.0) for i in seeds) + 8 / len(seeds) * pz[j] for j in items if j not in seeds}
+        want |= {(u, r, j) for r, j in enumerate(sorted(score, key=lambda j: (-round(score[j], 9), j))[:10], 1)}
+    no_edges(monkeypatch)
+    monkeypatch.setattr(qe.ed, "mirrored", lambda e: e)
+    monkeypatch.setattr(en, "cooc_edges", unmade(spark), raising=False)
+    assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.seed_recommend(spark, str(tmp_path)).collect()} == want
