@@ -245,3 +245,29 @@ def test_seed_recommend_makes_no_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(qe.ed, "mirrored", lambda e: e)
     monkeypatch.setattr(en, "cooc_edges", unmade(spark), raising=False)
     assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.seed_recommend(spark, str(tmp_path)).collect()} == want
+
+
+def blend_of(spark, path, log):
+    """{customer: score per part}: Wilson base and transitions as z-scores over all parts, trend added."""
+    rows = sorted((r["entity_id"], r["ts"], r["session_id"], r["item_id"]) for r in qe.orders_log(spark, str(path)).collect())
+    items, w = sorted({i for _, i in log}), wilson_of(log)
+    hi, lo = max(r[1] for r in rows), min(r[1] for r in rows)
+    recent = Counter(r[3] for r in rows if r[1] >= hi - (hi - lo) * 0.1)
+    z = lambda x: (x - x.mean()) / x.std() if x.std() > 0 else None
+    trend, steps, out = z(np.array([float(recent[i]) for i in items])), Counter(), {}
+    for a, b in zip(rows, rows[1:]):
+        if a[0] == b[0] and a[3] != b[3]:
+            steps[a[3], b[3]] += 1
+    for u in {u for u, _ in log}:
+        own = [r[3] for r in rows if r[0] == u]
+        base = np.array([sum(w.get((min(i, j), max(i, j)), 0.0) for i in own) for j in items])
+        vote = np.array([sum(0.7**k * steps[i, j] for k, i in enumerate(own[::-1][:5])) for j in items])
+        total = (base if z(base) is None else z(base)) + 0.5 * trend + (0 if z(vote) is None else 0.25 * z(vote))
+        out[u] = {j: t for j, t in zip(items, total, strict=True) if j not in own}
+    return out
+
+
+def test_blended_topk_keeps_no_edges(spark, tmp_path, monkeypatch):
+    want = {(u, r, j) for u, s in blend_of(spark, tmp_path, shop(spark, tmp_path)).items() for r, j in enumerate(sorted(s, key=lambda j: (-round(s[j], 9), j))[:10], 1)}
+    no_edges(monkeypatch)
+    assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.blended_topk(spark, str(tmp_path)).collect()} == want
