@@ -271,3 +271,23 @@ def test_blended_topk_keeps_no_edges(spark, tmp_path, monkeypatch):
     want = {(u, r, j) for u, s in blend_of(spark, tmp_path, shop(spark, tmp_path)).items() for r, j in enumerate(sorted(s, key=lambda j: (-round(s[j], 9), j))[:10], 1)}
     no_edges(monkeypatch)
     assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.blended_topk(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("budget", [25, 500])
+def test_layered_boost_keeps_no_edges(spark, tmp_path, monkeypatch, budget):
+    log = shop(spark, tmp_path)
+    orders_ = {}
+    for r in qe.orders_log(spark, str(tmp_path)).collect():
+        orders_.setdefault(r["session_id"], set()).add(r["item_id"])
+    met, want, lifted = Counter((i, j) for s in orders_.values() for i in s for j in s if i != j), set(), 0
+    for u, s in blend_of(spark, tmp_path, log).items():
+        pool = sorted(s, key=lambda j: (-round(s[j], 9), j))[:budget]
+        v = np.array([float(sum(met[i, j] for x, i in log if x == u)) for j in pool])
+        gaps = [g for g in -np.diff([s[j] for j in pool[:20]]) if g > 0]
+        fired = (v > 0) & ((v - v[v > 0].mean()) / max(v[v > 0].std(), 1e-9) > 2.5) if (v > 0).sum() >= 3 else np.zeros(len(v), bool)
+        total = np.array([s[j] for j in pool]) + 3.0 * (np.median(gaps) if gaps else 0.0) * fired
+        lifted += fired.sum()
+        want |= {(u, r, pool[k]) for r, k in enumerate(sorted(range(len(pool)), key=lambda k: (-round(total[k], 9), k))[:10], 1)}
+    no_edges(monkeypatch)
+    monkeypatch.setattr(qe, "BUDGET", budget)
+    assert {(r["entity_id"], r["rank"], r["item_id"]) for r in qe.layered_boost(spark, str(tmp_path)).collect()} == want and lifted > 5
