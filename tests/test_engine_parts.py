@@ -600,3 +600,34 @@ def test_lists_without_kept_edges_equal_joined(spark, monkeypatch, per_block, pl
             want = show(pk.top_by_edges(who, half, 6, 0))
             assert show(pk.top_by_log(who, log, how, 6)) == want and len(want) > 50
     assert pk.top_by_log(log.where("false"), log.where("false"), "wilson").count() == 0
+
+
+@pytest.mark.parametrize("at_once", [7, 131_072])
+def test_content_rows_equal_joined_and_fold(spark, tmp_path, monkeypatch, at_once):
+    """Every item for every entity, rounded as by SQL; members of a class repeat their scores, so written rows take few bytes."""
+    import pyarrow.parquet as pq
+
+    from spanloom.operators import sparse
+    from spanloom.plans import packed as pk
+
+    def written(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        groups = [m.row_group(k) for p in (tmp_path / name).glob("*.parquet") for m in [pq.ParquetFile(p).metadata] for k in range(m.num_row_groups)]
+        return spark.read.parquet(f"{tmp_path}/{name}"), sum(g.column(k).total_compressed_size for g in groups for k in range(3)) / sum(g.num_rows for g in groups)
+
+    monkeypatch.setattr(pk, "AT_ONCE", at_once)
+    many = 1000 if at_once > 7 else 40  # classes of six items each, ids far apart
+    raw = spark.range(many * 6).select(F.col("id").alias("item_id"), F.explode(F.expr(f"array(concat('a=', id % {many} % 60), concat('b=', id % {many} div 60), concat('c=', id % 2))")).alias("feature"))
+    f = ft.weigh_features(raw, many * 6, 2, 1.0)
+    rnd = random.Random(13)
+    hist = ch.multiplicity(log_of(spark, [(rnd.randrange(many // 4), rnd.randrange(many * 6 + 9)) for _ in range(2 * many)]))
+    rows, size = written(pk.content_scores(hist, f, 6), "rows")
+    want, _ = written(ch.content_scores(hist, f), "joined")
+    assert rows.count() == want.count() > many * many / 3 and rows.columns == want.columns
+    off = rows.withColumnRenamed("content", "x").join(want, ["entity_id", "item_id"], "full").where("x is null or content is null or abs(x - content) > 6e-7 or x <> round(x, 6)")
+    assert off.count() == 0
+    if at_once > 7:
+        by_entity = written(rows.orderBy("entity_id", "item_id"), "by_entity")[1]
+        assert size < 0.6 * by_entity
+    x = np.array([0.0000005, 1.0000005, -2.5, 2.4999999, 1e300])
+    assert sparse.half_up(x, 6).tolist()[:2] == [0.000001, 1.000001] and sparse.half_up(x, 0).tolist()[2:4] == [-3.0, 2.0]
